@@ -20,7 +20,6 @@ WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 #: Documents that a block has on average, up to this many blocks of a source.
 BLOCK_DOCS, MAX_BLOCKS = 256, 4096
 WORD = r"[^\x20\x09-\x0D]+"
-_OFFSET = F.lit("mix")
 
 
 def targets(sizes: list[float], weights: list[float], most: float = MOST) -> list[float]:
@@ -107,7 +106,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, rank): the words of each whole text, and the place of the document in its source's order."""
     text = F.col("text").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), _OFFSET).alias("rank"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.lit("mix")).alias("rank"))
 
 
 def _block(count: Column) -> Column:
