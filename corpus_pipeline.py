@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 from pagequery.llm import decontam, mixing, passages, quality, simhash
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]):
+    """docs with its own columns of those names out of an operator's way, and what puts them back and drops all others."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    back = [F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(own), lambda df: df.select(*back)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled documents outside the held-out fold, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, ~quality.held_out())
-    return quality.classify(docs, model).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs, back = _aside(docs, ("score", "predicted"))
+    return back(quality.classify(docs, model).where("predicted = 1"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +36,12 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those of which no word is left go. n_chars follows the text."""
+    docs, back = _aside(docs, ("n_words", "n_removed", "n_spans", "partners"))
     found = passages.dedup(docs)
     found = found.where("n_removed = 0 OR n_removed < n_words")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(found)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
