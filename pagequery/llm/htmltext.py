@@ -65,7 +65,7 @@ class _Page:
 
     def text(self, data: str) -> None:
         box = self.open[-1]
-        if box.hidden:
+        if box.hidden or (box.tag == "details" and box.count):
             return
         out = self.out[-1]
         if box.pre:
@@ -108,14 +108,15 @@ class _Page:
             self.close_within({"p"}, {"td", "th", "li", "table", "button", "caption"})
         if tag in PARENT and self.open[-1].tag not in PARENT[tag][1]:
             self.start(PARENT[tag][0], "")
+        up = self.open[-1]
         if tag == "br":
-            self.end_line(True)
+            if not up.hidden:
+                self.end_line(True)
             return
-        if tag in BLOCK:
-            self.apart(tag in SPACED)
         if tag in VOID:
+            if tag in BLOCK and not up.hidden:
+                self.apart(True)
             return
-        up = self.open[-1]
         box = _Box(tag, up, tag in ("table", "td", "th", "li", "caption"))
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         if tag in HIDDEN or "hidden" in found or ("style" in found and _UNSEEN.search(unescape(found["style"]))) or (tag == "dialog" and "open" not in found):
@@ -124,6 +125,8 @@ class _Page:
             box.hidden = True
         if tag == "details" and "open" not in found:
             box.count = 1
+        if tag in BLOCK and not box.hidden:
+            self.apart(tag in SPACED)
         if tag in ("pre", "textarea", "xmp"):
             box.pre = True
         if tag == "table":
@@ -167,14 +170,14 @@ class _Page:
 
     def pop(self) -> None:
         box = self.open[-1]
-        if box.tag in BLOCK:
+        if box.tag in BLOCK and not box.hidden:
             self.apart(False)
         self.open.pop()
         if box.own:
             self.out.pop()
             if not box.hidden:
                 self.put(box)
-        if box.tag in BLOCK:
+        if box.tag in BLOCK and not box.hidden:
             self.apart(box.tag in SPACED)
 
     def put(self, box: _Box) -> None:

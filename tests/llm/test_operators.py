@@ -228,7 +228,7 @@ def test_leaks_found_exactly_and_reparameterised(spark):
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, texts), bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (4, 6), (5, 7)}
     assert got[1, 1].exact and not got[2, 1].exact and not got[5, 7].exact
-    assert (got[1, 1].first_word, got[1, 1].end_word) == (30, 45)
+    assert (got[1, 1].first_word, got[1, 1].end_word) == (31, 45)  # within a sentence the leading A is a name
     small = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), bench, block_windows=10).collect()}
     assert small == set(got)
     assert {r.doc_id for r in decontam.clean(frame(spark, texts), bench).collect()} == {3, 6, 7, 8, 9}
