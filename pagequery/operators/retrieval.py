@@ -56,10 +56,14 @@ def fit(docs: DataFrame) -> TextIndex:
     return TextIndex(docs.select("doc_key", "pos"), vocab, weighted(counts, vocab, "doc_key"))
 
 
+def _products(index: TextIndex, queries: DataFrame) -> DataFrame:
+    q = weighted(term_counts(queries, "query_id", "question"), index.vocab, "query_id").withColumnRenamed("w", "qw")
+    return q.join(index.weights, "term").select("query_id", "doc_key", (F.col("qw") * F.col("w")).alias("score"))
+
+
 def text_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_key, score) where score > 0, for queries (query_id, question)."""
-    q = weighted(term_counts(queries, "query_id", "question"), index.vocab, "query_id").withColumnRenamed("w", "qw")
-    return q.join(index.weights, "term").groupBy("query_id", "doc_key").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    return _products(index, queries).groupBy("query_id", "doc_key").agg(F.sum("score").alias("score"))
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -71,15 +75,14 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 def text_topk(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_key, pos, score, rank): the k best documents; unmatched ones fill up in order of position.
 
-    Scores are never negative, so documents without a common term can only follow those with one: the k best positive
-    ones, and for queries with fewer than k of them the first 2k documents by position, are all that can rank.
+    Scores are never negative, so documents without a common term can only follow those with one: besides documents
+    with one, only the first 2k by position can rank. These join every query with a score of 0, before scores are summed,
+    so that the whole search is one aggregation.
     """
-    best = ranked(text_scores(index, queries).join(index.docs, "doc_key"), k)
-    short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    first = index.docs.orderBy("pos").limit(2 * k)
-    fill = short.join(F.broadcast(first)).join(best.select("query_id", "doc_key"), ["query_id", "doc_key"], "left_anti")
-    fill = fill.select("query_id", "doc_key", "pos", F.lit(0.0).alias("score"))
-    return ranked(best.drop("rank").unionByName(fill), k)
+    first = index.docs.orderBy("pos").limit(2 * k).select("doc_key")
+    zero = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    scores = _products(index, queries).unionByName(zero).groupBy("query_id", "doc_key").agg(F.sum("score").alias("score"))
+    return ranked(scores.join(index.docs, "doc_key"), k).select("query_id", "doc_key", "pos", "score", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:
