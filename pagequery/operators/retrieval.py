@@ -22,9 +22,18 @@ def term_counts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    """(term, df): in how many documents a term occurs."""
-    return counts.groupBy("term").agg(F.count("*").alias("df"))
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores where the scan gives fewer tasks than there are cores, as for a file of one row group.
+
+    Large inputs have more tasks than cores, and are read where they lie, without a shuffle of their texts.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): in how many rows a term occurs. Terms are made distinct within the row, so only they are shuffled, combined."""
+    return docs.select(F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def smoothed_idf(n: Column, df: Column) -> Column:
@@ -34,36 +43,50 @@ def smoothed_idf(n: Column, df: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """A fitted index: documents (doc_key, pos), vocabulary (term, idf), and normalised weights (doc_key, term, w)."""
+    """A fitted index: documents (doc_key, pos), vocabulary (term, idf), weights (doc_key, term, w) and lengths (doc_key, norm).
+
+    Weights are tf * idf, not divided by their document's length: scores are, which are far fewer.
+    """
 
     docs: DataFrame
     vocab: DataFrame
     weights: DataFrame
+    norms: DataFrame
 
 
 def weighted(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, w): L2-normalised tf * idf; terms outside the vocabulary drop out."""
-    raw = counts.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    """(key, term, w): tf * idf; terms outside the vocabulary drop out. Counts are many and the vocabulary few: only it is hashed, nothing sorted."""
+    return counts.join(vocab.hint("shuffle_hash"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def lengths(weights: DataFrame, key: str) -> DataFrame:
+    """(key, norm): the L2 norm of each row's weights."""
+    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
 def fit(docs: DataFrame) -> TextIndex:
-    """Index docs (doc_key, pos, text); query text never changes the vocabulary."""
-    counts = term_counts(docs, "doc_key")
+    """Index docs (doc_key, pos, text), one row a document; query text never changes the vocabulary."""
     total = docs.agg(F.count("*").alias("n_docs"))
-    vocab = document_frequency(counts).join(F.broadcast(total)).select("term", smoothed_idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return TextIndex(docs.select("doc_key", "pos"), vocab, weighted(counts, vocab, "doc_key"))
+    vocab = document_frequency(docs).join(F.broadcast(total)).select("term", smoothed_idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    weights = weighted(term_counts(docs, "doc_key"), vocab, "doc_key")
+    return TextIndex(docs.select("doc_key", "pos"), vocab, weights, lengths(weights, "doc_key"))
 
 
 def _products(index: TextIndex, queries: DataFrame) -> DataFrame:
-    q = weighted(term_counts(queries, "query_id", "question"), index.vocab, "query_id").withColumnRenamed("w", "qw")
-    return q.join(index.weights, "term").select("query_id", "doc_key", (F.col("qw") * F.col("w")).alias("score"))
+    counts = term_counts(queries, "query_id", "question")
+    q = weighted(counts, index.vocab, "query_id")
+    unit = q.join(lengths(q, "query_id"), "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
+    return unit.join(index.weights, "term").select("query_id", "doc_key", (F.col("qw") * F.col("w")).alias("score"))
+
+
+def _summed(products: DataFrame, index: TextIndex) -> DataFrame:
+    sums = products.groupBy("query_id", "doc_key").agg(F.sum("score").alias("score")).join(index.norms, "doc_key", "left")
+    return sums.select("query_id", "doc_key", F.coalesce(F.col("score") / F.col("norm"), F.lit(0.0)).alias("score"))
 
 
 def text_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_key, score) where score > 0, for queries (query_id, question)."""
-    return _products(index, queries).groupBy("query_id", "doc_key").agg(F.sum("score").alias("score"))
+    return _summed(_products(index, queries), index)
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -81,7 +104,7 @@ def text_topk(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     first = index.docs.orderBy("pos").limit(2 * k).select("doc_key")
     zero = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    scores = _products(index, queries).unionByName(zero).groupBy("query_id", "doc_key").agg(F.sum("score").alias("score"))
+    scores = _summed(_products(index, queries).unionByName(zero), index)
     return ranked(scores.join(index.docs, "doc_key"), k).select("query_id", "doc_key", "pos", "score", "rank")
 
 

@@ -11,7 +11,7 @@ K = 5
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), F.col("doc_id").alias("pos"), "text")
+    return R.spread(table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), F.col("doc_id").alias("pos"), "text"))
 
 
 def _queries(spark, d):
@@ -32,7 +32,7 @@ def term_frequency(spark, d):
 
 
 def doc_freq(spark, d):
-    return R.document_frequency(R.term_counts(_docs(spark, d), "doc_key"))
+    return R.document_frequency(_docs(spark, d))
 
 
 def idf(spark, d):
@@ -40,15 +40,12 @@ def idf(spark, d):
 
 
 def doc_norms(spark, d):
-    docs = _docs(spark, d)
-    raw = R.term_counts(docs, "doc_key").join(R.fit(docs).vocab, "term")
-    norm = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)))
-    return raw.groupBy("doc_key").agg(F.round(norm, 4).alias("norm")).select(F.col("doc_key").alias("doc_id"), "norm")
+    return R.fit(_docs(spark, d)).norms.select(F.col("doc_key").alias("doc_id"), F.round("norm", 4).alias("norm"))
 
 
 def zero_vector_docs(spark, d):
     docs = _docs(spark, d).withColumn("text", F.when(F.col("pos") % 10 < 3, "").otherwise(F.col("text")))
-    known = R.fit(docs).weights.select("doc_key").distinct()
+    known = R.fit(docs).norms.select("doc_key")
     return docs.join(known, "doc_key", "left_anti").select(F.col("doc_key").alias("doc_id"))
 
 
@@ -100,7 +97,7 @@ def score_spread(spark, d):
 
 
 def _vectors(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_key"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    return R.spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_key"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec")))
 
 
 def dense_topk(spark, d):
