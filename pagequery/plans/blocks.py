@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blocks as B
-from .tables import REQUESTS_SQL, requests, table
+from .tables import REQUESTS_SQL, part, requests, table
 
 #: Bytes of keys and values of a token in the larger model; sizes of a sweep.
 PER_TOKEN = 196_608
@@ -151,15 +151,15 @@ def refcount_ledger(spark, d):
     return out.groupBy("block").agg(F.max("refs").alias("most"), F.count_if("broken").alias("n_broken"), F.sum("delta").alias("left"))
 
 
-def duplicate_free_blocks(spark, d):
+def duplicate_free_blocks(spark, d, whole=False):
     """Blocks that a pool's free list holds twice."""
-    r = requests(spark, d).select("session", (F.col("prompt") / 64).cast("long").alias("block")).where("session < 3")
+    r = part(requests(spark, d), "session < 3", whole).select("session", (F.col("prompt") / 64).cast("long").alias("block"))
     return r.groupBy("session").agg((F.count("*") - F.count_distinct("block")).alias("n_duplicates"))
 
 
-def block_gather(spark, d):
+def block_gather(spark, d, whole=False):
     """Logical positions of a sequence through its block map; the tail beyond its tokens is not read."""
-    docs = table(spark, d, "documents").where("doc_id < 50").select("doc_id", F.least(F.length("text"), F.lit(50)).alias("n"), "text")
+    docs = part(table(spark, d, "documents"), "doc_id < 50", whole).select("doc_id", (F.length("text") if whole else F.least(F.length("text"), F.lit(50))).alias("n"))
     mapped = docs.select("doc_id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / 16), F.lit(1)).cast("int") - 1), lambda i: (i * 7 + F.col("doc_id")) % 101)).alias("logical", "physical"))
     slots = mapped.select("doc_id", "n", "logical", "physical", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
     live = slots.where(F.col("logical") * 16 + F.col("slot") < F.col("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import load as L
-from .tables import REQUESTS_SQL, requests
+from .tables import REQUESTS_SQL, part, requests
 
 #: Events are days apart for one user, so service is stretched to make queues: seconds of service for a unit of value.
 STRETCH = 2000
@@ -32,8 +32,8 @@ def _outcomes(spark, d):
     )
 
 
-def poisson_arrivals(spark, d):
-    r = requests(spark, d).where("server < 30").select("server", "event_id")
+def poisson_arrivals(spark, d, whole=False):
+    r = part(requests(spark, d), "server < 30", whole).select("server", "event_id")
     gaps = r.withColumn("gap", L.exponential_gap(L.hashed_uniform(7, F.col("event_id")), F.lit(0.5)))
     return L.arrivals(gaps, ["server"], "event_id", "gap").select("server", "event_id", F.round("arrival", 6).alias("arrival"))
 
@@ -42,13 +42,13 @@ def fifo_finish(spark, d):
     return _queue(spark, d).select("event_id", "finish")
 
 
-def inflight_depth(spark, d):
-    return L.inflight(_queue(spark, d).where("server < 20"), ["server"], "arrival", "finish")
+def inflight_depth(spark, d, whole=False):
+    return L.inflight(part(_queue(spark, d), "server < 20", whole), ["server"], "arrival", "finish")
 
 
-def inflight_sampled(spark, d):
+def inflight_sampled(spark, d, whole=False):
     """Open requests at sampled times, each interval expanded to the samples in it: as a sampler thread would count."""
-    q = _queue(spark, d).where("server < 10")
+    q = part(_queue(spark, d), "server < 10", whole)
     step = 6 * 3600 * 1_000_000
     first, last = F.ceil(F.col("arrival") / step), F.floor((F.col("finish") - 1) / step)
     hit = q.where(first <= last).select("server", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("sample"))

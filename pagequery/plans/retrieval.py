@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from .tables import table
+from .tables import part, table
 
 K = 5
 
@@ -49,22 +49,22 @@ def zero_vector_docs(spark, d):
     return docs.join(known, "doc_key", "left_anti").select(F.col("doc_key").alias("doc_id"))
 
 
-def oov_queries(spark, d):
+def oov_queries(spark, d, whole=False):
     """Queries against a corpus of a tenth of the documents: how many of their terms it knows."""
-    docs = _docs(spark, d).where("pos % 10 = 0")
+    docs = part(_docs(spark, d), "pos % 10 = 0", whole)
     terms = R.term_counts(_queries(spark, d), "query_id", "question")
     vocab = R.fit(docs).vocab.select("term", F.lit(1).alias("known"))
     return terms.join(vocab, "term", "left").groupBy("query_id").agg(F.count("*").alias("n_terms"), F.count("known").alias("n_known"))
 
 
-def _gold(spark, d):
+def _gold(spark, d, whole=False):
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    met = docs.join(F.broadcast(items), F.expr("contains(doc_text, substring(text, 1, 60))"))
+    met = docs.join(F.broadcast(items), F.expr("contains(doc_text, text)" if whole else "contains(doc_text, substring(text, 1, 60))"))
     return met.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("gold_doc_key"))
 
 
-def gold_match(spark, d):
-    return _gold(spark, d)
+def gold_match(spark, d, whole=False):
+    return _gold(spark, d, whole)
 
 
 def _top(spark, d, k):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import stats as A
-from .tables import REQUESTS_SQL, requests, table
+from .tables import REQUESTS_SQL, part, requests, table
 
 _P = ["p50", "p95", "p99", "mean", "std", "min", "max"]
 
@@ -19,8 +19,8 @@ def latency_percentiles(spark, d):
     return _rounded(requests(spark, d).groupBy("cell").agg(*A.percentiles(F.col("service"))), ["cell"], _P)
 
 
-def single_sample_percentiles(spark, d):
-    return _rounded(requests(spark, d).where("event_id < 3").groupBy("event_id").agg(*A.percentiles(F.col("service"))), ["event_id"], _P)
+def single_sample_percentiles(spark, d, whole=False):
+    return _rounded(part(requests(spark, d), "event_id < 3", whole).groupBy("event_id").agg(*A.percentiles(F.col("service"))), ["event_id"], _P)
 
 
 def token_mix_summary(spark, d):

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from ..operators import vectors as V
 from ..operators.retrieval import dot
-from .tables import table
+from .tables import part, table
 
 
-def _cells(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("row"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("col", "v"))
+def _cells(spark, d, whole=False):
+    return part(table(spark, d, "embeddings"), "vec_id < 200", whole).select(F.col("vec_id").alias("row"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("col", "v"))
 
 
-def _groupwise(spark, d, bits, group):
-    return V.quantized(_cells(spark, d), bits, group, 64)
+def _groupwise(spark, d, bits, group, whole=False):
+    return V.quantized(_cells(spark, d, whole), bits, group, 64)
 
 
-def int4_groupwise(spark, d):
-    return _groupwise(spark, d, 4, 16).select("row", "col", F.round("scale", 9).alias("scale"), "code")
+def int4_groupwise(spark, d, whole=False):
+    return _groupwise(spark, d, 4, 16, whole).select("row", "col", F.round("scale", 9).alias("scale"), "code")
 
 
-def int8_groupwise(spark, d):
-    return _groupwise(spark, d, 8, 32).select("row", "col", F.round("scale", 9).alias("scale"), "code")
+def int8_groupwise(spark, d, whole=False):
+    return _groupwise(spark, d, 8, 32, whole).select("row", "col", F.round("scale", 9).alias("scale"), "code")
 
 
 def int4_array_form(spark, d):
@@ -34,37 +34,37 @@ def int4_array_form(spark, d):
     return out.select("vec_id", F.aggregate("c", F.lit(0), lambda a, x: a + x).alias("sum_code"), F.aggregate("c", F.lit(0), lambda a, x: a + F.abs(x)).alias("sum_abs"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 9).alias("sum_scale"))
 
 
-def dequantized(spark, d):
-    q = _groupwise(spark, d, 4, 16)
+def dequantized(spark, d, whole=False):
+    q = _groupwise(spark, d, 4, 16, whole)
     return q.select("row", "col", F.round(V.dequantized(F.col("code"), F.col("scale")), 9).alias("w"))
 
 
-def quant_error(spark, d):
+def quant_error(spark, d, whole=False):
     out = None
     for bits, group in ((4, 16), (4, 64), (8, 16)):
-        q = _groupwise(spark, d, bits, group).select("row", "v", V.dequantized(F.col("code"), F.col("scale")).alias("w"))
+        q = _groupwise(spark, d, bits, group, whole).select("row", "v", V.dequantized(F.col("code"), F.col("scale")).alias("w"))
         m = V.error_metrics(q)
         one = m.select(F.lit(bits).alias("bits"), F.lit(group).alias("group_size"), *[F.round(c, 6).alias(c) for c in m.columns])
         out = one if out is None else out.unionAll(one)
     return out
 
 
-def pack_roundtrip(spark, d):
-    q = _groupwise(spark, d, 4, 16).select("row", F.floor(F.col("col") / 2).cast("int").alias("pair"), (F.col("col") % 2).alias("half"), "code")
+def pack_roundtrip(spark, d, whole=False):
+    q = _groupwise(spark, d, 4, 16, whole).select("row", F.floor(F.col("col") / 2).cast("int").alias("pair"), (F.col("col") % 2).alias("half"), "code")
     pairs = q.groupBy("row", "pair").agg(F.max(F.when(F.col("half") == 0, F.col("code"))).alias("low"), F.max(F.when(F.col("half") == 1, F.col("code"))).alias("high"))
     b = pairs.withColumn("byte", V.packed(F.col("low"), F.col("high")))
     ok = (V.unpacked_low(F.col("byte")) == F.col("low")) & (V.unpacked_high(F.col("byte")) == F.col("high"))
     return b.select("row", "pair", "byte", ok.alias("lossless"))
 
 
-def _layers(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber < 3 AND l_orderkey < 400")
+def _layers(spark, d, whole=False):
+    li = part(table(spark, d, "lineitem"), "l_linenumber < 3 AND l_orderkey < 400", whole)
     name = F.concat("l_returnflag", F.lit("."), "l_linestatus", F.lit("."), F.col("l_orderkey").cast("string"))
     return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", name.alias("name"), (F.col("l_suppkey") % 7 + 1).alias("rows"), (F.col("l_partkey") % 9 * 16 + 16).alias("cols"), (F.col("l_linenumber") == 1).alias("bias"))
 
 
-def quant_plan(spark, d):
-    p = V.plan(_layers(spark, d), ["r.f", "HEAD"], 64)
+def quant_plan(spark, d, whole=False):
+    p = V.plan(_layers(spark, d, whole), ["r.f", "HEAD"], 64)
     return p.groupBy("reason").agg(F.count("*").alias("n"), F.sum("dense_bytes").alias("dense"), F.sum("planned_bytes").alias("planned"), F.round(F.try_divide(8 * F.sum("planned_bytes"), F.sum(F.col("rows") * F.col("cols"))), 6).alias("bits_per_weight"))
 
 
@@ -94,8 +94,8 @@ def ledger_grouping_sets(spark, d):
 # attention: queries are the first three vectors, keys and values all below 200, scale 1/8
 
 
-def _scores(spark, d, causal=False):
-    e = table(spark, d, "embeddings").where("vec_id < 200").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+def _scores(spark, d, causal=False, whole=False):
+    e = part(table(spark, d, "embeddings"), "vec_id < 200", whole).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     ids = "vec_id IN (3, 50, 199)" if causal else "vec_id < 3"
     q = e.where(ids).select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
     on = F.col("vec_id") <= F.col("q") if causal else F.lit(True)
@@ -106,21 +106,21 @@ def _nine(df):
     return df.select("q", "dim", F.round("out", 9).alias("out"))
 
 
-def softmax_attention(spark, d):
-    return _nine(V.attention(_scores(spark, d), ["q"]))
+def softmax_attention(spark, d, whole=False):
+    return _nine(V.attention(_scores(spark, d, whole=whole), ["q"]))
 
 
-def blockwise_attention(spark, d):
-    return _nine(V.blockwise_attention(_scores(spark, d).withColumn("block", F.floor(F.col("k") / 16)), ["q"], "block"))
+def blockwise_attention(spark, d, whole=False):
+    return _nine(V.blockwise_attention(_scores(spark, d, whole=whole).withColumn("block", F.floor(F.col("k") / 16)), ["q"], "block"))
 
 
 def causal_attention(spark, d):
     return _nine(V.attention(_scores(spark, d, True), ["q"]))
 
 
-def padded_gather(spark, d):
+def padded_gather(spark, d, whole=False):
     """Sequences of one length: what a shorter one lacks is padded on the right with zeros."""
-    e = table(spark, d, "embeddings").where("vec_id < 120").withColumn("seq", F.col("label"))
+    e = part(table(spark, d, "embeddings"), "vec_id < 120", whole).withColumn("seq", F.col("label"))
     w = Window.partitionBy("seq").orderBy("vec_id")
     own = e.withColumn("pos", F.row_number().over(w) - 1).select("seq", "pos", F.element_at("embedding", 1).cast("double").alias("v"))
     top = own.agg(F.max("pos").alias("top"))
@@ -128,54 +128,54 @@ def padded_gather(spark, d):
     return frame.join(own, ["seq", "pos"], "left").select("seq", "pos", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("v"), F.col("v").isNull().alias("padded"))
 
 
-def rmsnorm(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 100")
+def rmsnorm(spark, d, whole=False):
+    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole)
     return e.select("vec_id", F.posexplode(V.rms_norm(F.col("embedding"))).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
-def rope(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 100").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+def rope(spark, d, whole=False):
+    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return e.select("vec_id", F.posexplode(V.rotary(F.col("v"), F.col("vec_id"), 64)).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
-def repeat_kv(spark, d):
+def repeat_kv(spark, d, whole=False):
     """The first four numbers of a vector as heads, each doubled."""
-    e = table(spark, d, "embeddings").where("vec_id < 100")
+    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole)
     heads = V.repeated_heads(F.slice("embedding", 1, 4), 2)
     return e.select("vec_id", F.posexplode(heads).alias("head", "x")).select("vec_id", "head", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
-def swiglu(spark, d):
+def swiglu(spark, d, whole=False):
     """silu(gate) * up, the gate being a vector's first half and up its second."""
-    e = table(spark, d, "embeddings").where("vec_id < 100").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     out = F.zip_with(F.slice("v", 1, 32), F.slice("v", 33, 32), lambda g, u: g / (1 + F.exp(-g)) * u)
     return e.select("vec_id", F.posexplode(out).alias("dim", "x")).select("vec_id", "dim", F.round("x", 9).alias("x"))
 
 
-def linear_layer(spark, d):
+def linear_layer(spark, d, whole=False):
     """A matrix product as a join on the inner index: rows below 40 by columns, rows 40 to 47 as weights; the largest is the greedy token."""
-    c = _cells(spark, d)
-    x, w = c.where("row < 40"), c.where("row >= 40 AND row < 48").select(F.col("row").alias("token"), "col", F.col("v").alias("w"))
+    c = _cells(spark, d, whole)
+    x, w = part(c, "row < 40", whole), c.where("row >= 40 AND row < 48").select(F.col("row").alias("token"), "col", F.col("v").alias("w"))
     out = x.join(F.broadcast(w), "col").groupBy("row", "token").agg(F.sum(F.col("v") * F.col("w")).alias("logit"))
     best = out.groupBy("row").agg(F.max_by("token", F.struct(F.round("logit", 9), -F.col("token"))).alias("greedy"), F.round(F.max("logit"), 6).alias("logit"))
     return best
 
 
-def _weights(spark, d):
+def _weights(spark, d, whole=False):
     """Softmaxed causal attention of sequences of eight vectors, two heads (halves of the vector)."""
-    e = table(spark, d, "embeddings").where("vec_id < 160").select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.col("vec_id") % 8).alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = part(table(spark, d, "embeddings"), "vec_id < 160", whole).select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.col("vec_id") % 8).alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     h = e.select("seq", "i", F.posexplode(F.array(F.slice("v", 1, 32), F.slice("v", 33, 32))).alias("head", "v"))
     q, k = h.select("seq", "head", F.col("i").alias("q"), F.col("v").alias("a")), h.select("seq", "head", F.col("i").alias("k"), F.col("v").alias("b"))
     s = q.join(k, ["seq", "head"]).where("k <= q").withColumn("e", F.exp(dot(F.col("a"), F.col("b"))))
     return s.select("seq", "head", "q", "k", (F.col("e") / F.sum("e").over(Window.partitionBy("seq", "head", "q"))).alias("w"))
 
 
-def attention_received(spark, d):
-    return V.received(_weights(spark, d)).select("seq", "k", F.round("received", 9).alias("received"))
+def attention_received(spark, d, whole=False):
+    return V.received(_weights(spark, d, whole)).select("seq", "k", F.round("received", 9).alias("received"))
 
 
-def attention_received_last(spark, d):
-    return V.received_last(_weights(spark, d)).select("seq", "k", F.round("received", 9).alias("received"))
+def attention_received_last(spark, d, whole=False):
+    return V.received_last(_weights(spark, d, whole)).select("seq", "k", F.round("received", 9).alias("received"))
 
 
 def _tokens(spark, d):

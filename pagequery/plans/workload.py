@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import workload as W
 from ..sources import ocr
 from .retrieval import _gold
-from .tables import table
+from .tables import part, table
 
 
 def _corpus(spark, d):
@@ -71,13 +71,13 @@ def heldout_prefix(spark, d):
     return heldout_split(spark, d).where("split = 'heldout'").orderBy("doc_id").limit(25).select("doc_id")
 
 
-def _trace(spark, d):
-    keys = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("doc_key"))
-    return W.sampled_trace(_gold(spark, d), keys, 5), keys
+def _trace(spark, d, whole=False):
+    keys = part(table(spark, d, "documents"), "doc_id < 200", whole).select(F.col("doc_id").alias("doc_key"))
+    return W.sampled_trace(_gold(spark, d, whole), keys, 5), keys
 
 
-def frozen_trace(spark, d):
-    trace, _ = _trace(spark, d)
+def frozen_trace(spark, d, whole=False):
+    trace, _ = _trace(spark, d, whole)
     return trace.select("query_id", "gold_doc_key", F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ",").alias("retrieved"))
 
 
@@ -87,23 +87,23 @@ def trace_drop_missing(spark, d):
     return queries.join(keys, "gold_doc_key", "left_anti").select("query_id", "gold_doc_key")
 
 
-def canonical_order(spark, d):
+def canonical_order(spark, d, whole=False):
     """A trace's documents sorted by key, beside their order of relevance."""
-    trace, _ = _trace(spark, d)
+    trace, _ = _trace(spark, d, whole)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return trace.select("query_id", text(F.col("retrieved")).alias("relevance"), text(F.array_sort("retrieved")).alias("canonical"))
 
 
-def prompt_text(spark, d):
-    trace, _ = _trace(spark, d)
+def prompt_text(spark, d, whole=False):
+    trace, _ = _trace(spark, d, whole)
     corpus = _corpus(spark, d).select(F.col("doc_id").alias("doc_key"), "text")
     got = W.resolved(trace, corpus).join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     text = S.prompt(F.col("question"), F.col("texts"))
     return got.select("query_id", F.size("keys").alias("n_docs"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("sha"))
 
 
-def prompt_part_counts(spark, d):
-    trace, _ = _trace(spark, d)
+def prompt_part_counts(spark, d, whole=False):
+    trace, _ = _trace(spark, d, whole)
     corpus = _corpus(spark, d).select(F.col("doc_id").alias("doc_key"), "text")
     got = W.resolved(trace, corpus).join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     part = F.explode(S.prompt_parts(F.col("question"), F.col("keys"), F.col("texts"))).alias("p")
@@ -176,23 +176,27 @@ def request_rejects(spark, d):
     return c.select("conv_id", "turn", F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 
-def levenshtein_pairs(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", S.ascii_folded(F.substring("text", 1, 40)).alias("t"))
+def _beginning(whole):
+    return S.ascii_folded(F.col("text") if whole else F.substring("text", 1, 40))
+
+
+def levenshtein_pairs(spark, d, whole=False):
+    c = table(spark, d, "conversations").select("conv_id", "turn", _beginning(whole).alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("t", "u").cast("long").alias("distance"))
 
 
-def anls_scores(spark, d):
+def anls_scores(spark, d, whole=False):
     """Each turn's beginning against two answers: that of the next turn, and its own beyond its first character."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", S.ascii_folded(F.substring("text", 1, 40)).alias("t"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", _beginning(whole).alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
     both = c.join(nxt, ["conv_id", "turn"], "left")
-    golds = F.filter(F.array(F.col("u"), F.substring("t", F.lit(1) + (F.col("turn") * 7 % 30).cast("int"), F.lit(40))), lambda x: x.isNotNull())
+    golds = F.filter(F.array(F.col("u"), F.substring("t", F.lit(1) + (F.col("turn") * 7 % 30).cast("int"), F.length("t") if whole else F.lit(40))), lambda x: x.isNotNull())
     return both.select("conv_id", "turn", "role", F.round(S.anls(F.col("t"), golds), 6).alias("anls"))
 
 
-def anls_by_group(spark, d):
-    return anls_scores(spark, d).groupBy("role").agg(F.round(F.avg("anls"), 5).alias("mean_anls"), F.count("*").alias("n"))
+def anls_by_group(spark, d, whole=False):
+    return anls_scores(spark, d, whole).groupBy("role").agg(F.round(F.avg("anls"), 5).alias("mean_anls"), F.count("*").alias("n"))
 
 
 # pages
@@ -210,9 +214,9 @@ def slugs(spark, d):
     return table(spark, d, "pages").select("page_id", S.slug(F.col("url")).alias("slug"))
 
 
-def ocr_lines(spark, d):
+def ocr_lines(spark, d, whole=False):
     """A plain JSON container of each document's lines, read back in the JVM."""
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0")
+    docs = part(table(spark, d, "documents"), "doc_id % 5 = 0", whole)
     block = F.struct(F.lit("LINE").alias("BlockType"), F.col("text").alias("Text"))
     word = F.struct(F.lit("WORD").alias("BlockType"), F.lit("w").alias("Text"))
     payload = F.to_json(F.struct(F.array(block, word).alias("Blocks")))

@@ -1,0 +1,51 @@
+"""The whole forms of queries that read a subset, against their SQL with the subset's conditions taken out."""
+
+import re
+
+import pytest
+from test_oracle import SF, TABLES, shown
+
+from pagequery.plans.catalog import ORACLE_SQL, QUERIES, WHOLE
+
+duckdb = pytest.importorskip("duckdb")
+
+#: Conditions of subsets in the SQL, and what stands for them where all rows and whole texts are read.
+SUBSETS = [
+    (r"\bx\.vec_id < 40 AND ", ""),
+    (r"(?<!q\.)\bvec_id < (?:200|160|120|100)\b", "true"),
+    (r"\bl_linenumber < 3 AND l_orderkey < 400\b", "true"),
+    (r"\bdoc_id < (?:200|50)\b", "true"),
+    (r"\bdoc_id % 5 = 0|\bdoc_id % 10 = 0(?=\)\nSELECT query_id)", "true"),
+    (r"\bserver < \d+|\bsession < 3\b|\bevent_id < 3\b", "true"),
+    (r"substring\((b\.)?text, 1, (?:40|60)\)", r"\1text"),
+    (r"least\(length\(text\), 50\)", "length(text)"),
+    (r"::INTEGER, 40\)", "::INTEGER)"),
+]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_equals_sql_over_all_rows(spark, duck, name):
+    sql = ORACLE_SQL[name]
+    for condition, instead in SUBSETS:
+        sql = re.sub(condition, instead, sql)
+    assert sql != ORACLE_SQL[name]
+    df = QUERIES[f"{name}_whole"](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(tuple(shown(r[c]) for c in columns) for r in df.collect())
+    result = duck.execute(sql)
+    names = [d[0] for d in result.description]
+    want = sorted(tuple(shown(row[names.index(c)]) for c in columns) for row in result.fetchall())
+    assert got == want
+
+
+def test_subsets_are_left_behind(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert QUERIES["rmsnorm_whole"](spark, SF).select("vec_id").distinct().count() == rows > QUERIES["rmsnorm"](spark, SF).select("vec_id").distinct().count()
