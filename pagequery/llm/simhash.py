@@ -127,8 +127,9 @@ def near_duplicates(docs: DataFrame, most: int = 2, size: int = 3) -> DataFrame:
 
 #: Blocks of a document: a key of each is made of so many shingles, the smallest in an order of its own.
 BLOCKS, SMALLEST = 12, 3
-#: Members of a block up to which all its pairs are candidates; in larger ones, the first and the nearest earlier, by groups of about so many.
-FEW, NEAR = 12, 5000
+#: Members of a block up to which all its pairs are candidates at once; of larger ones, first the links to the first and the nearest earlier,
+#: by groups of about NEAR, and then, in tiles of about TILE members a side, all pairs that are not yet in one component.
+FEW, NEAR, TILE = 12, 5000, 1000
 #: Most differing bits of candidates: 3.5 deviations over what a similarity of 0.8 leaves. From so many shingles on.
 FAR, SURE = 20, 64
 _SALTS = mix(np.arange(1, BLOCKS + 1, dtype=np.uint64))
@@ -165,13 +166,44 @@ def _shingled(buf: np.ndarray, off: np.ndarray, size: int) -> Iterator[np.ndarra
             yield one
 
 
+def _unlinked(ids: np.ndarray, root: np.ndarray, fp: np.ndarray, n: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between members of a tile whose roots differ, of all pairs that the length and Hamming checks let pass; linked members share a root from then on."""
+    root, sizes = root.copy(), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    posting, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    across = part.min() != part.max()
+    out = []
+    for i in range(len(sets)):
+        open_ = root != root[i]
+        open_[: i + 1] = False
+        if across:
+            open_ &= part != part[i]
+        open_ &= np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])
+        open_ &= (np.minimum(n, n[i]) < SURE) | (np.bitwise_count(fp ^ fp[i]) <= FAR)
+        if not open_.any():
+            continue
+        own = code[at[i] : at[i + 1]]
+        many = start[own + 1] - start[own]
+        met = posting[np.repeat(start[own] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        shared = np.bincount(met, minlength=len(sets))
+        for j in np.flatnonzero(open_ & (shared >= similarity * (sizes + sizes[i] - shared))):
+            if root[j] != root[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): documents whose sets of shingles have a Jaccard similarity of at least `similarity`, linked.
 
     SimHashes of such documents differ in some ten of 64 bits, which no key over segments can find among many; so
     candidates come from blocks, keys of the SMALLEST shingles in each of BLOCKS orders, of which a pair at 0.8 shares one
     with a probability of 0.9998. Of candidates, the pigeonring chains and the Hamming check let pass those within FAR bits (texts of
-    fewer than SURE shingles all), and their whole sets of shingles decide. Equal sets are one point of the search. Null text counts
+    fewer than SURE shingles all), and their whole sets of shingles decide. In a block of more than FEW, members are linked to the first and the
+    nearest earlier one first; all pairs of it that this leaves in different components are then compared. Equal sets are one point of the search. Null text counts
     as empty; documents without words are equal. Rows with a null doc_id are left out, rows repeated stay; an empty table gives an empty
     result.
     """
@@ -230,7 +262,30 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    found = components(left.join(right, ["ida", "idb"]).mapInArrow(alike, "a long, b long"))
+    first = cut(left.join(right, ["ida", "idb"]).mapInArrow(alike, "a long, b long"))
+    roots = components(first)
+    crowd = large.select("block", "key", "m", "id", "fp", "n").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    mixed = crowd.groupBy("block", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("block", "key")
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    crowd = crowd.join(mixed, ["block", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    crowd = cut(crowd.select("block", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "root", "fp", "n", "part"))
+
+    def own_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, (buf, off) = batch.column(0), packed(batch.column(1))
+            for i, j in runs(off, 1 << 20):
+                own = [np.unique(s >> np.uint64(16)).tobytes() for s in _shingled(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(own, pa.binary())], ["id", "own"])
+
+    def tile(members: pa.Table) -> pa.Table:
+        of = {c: members.column(c).to_numpy() for c in ("id", "root", "fp", "n", "part")}
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in members.column("own").combine_chunks()]
+        pairs = _unlinked(of["id"], of["root"], of["fp"].view(np.uint64), of["n"], of["part"], sets, similarity)
+        return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    whole = plain.join(crowd.select("id").distinct(), "id").dropDuplicates(["id"]).mapInArrow(own_set, "id long, own binary")
+    second = crowd.join(whole, "id").groupBy("block", "key", "low", "high").applyInArrow(tile, "a long, b long")
+    found = components(first.unionAll(second).distinct())
     named = points.select("id").join(found, points["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("component_id"))
     heads = rows.groupBy("whole", "n").agg(F.min("id").alias("head"))
     return rows.select("id", "whole", "n").join(heads, ["whole", "n"]).join(named.withColumnRenamed("id", "head"), "head").select(F.col("id").alias("doc_id"), "component_id")

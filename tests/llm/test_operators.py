@@ -115,6 +115,23 @@ def test_similar_documents_match_exact_jaccard(spark):
     assert {r.doc_id for r in simhash.distinct(docs).collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("tile", [1000, 10])
+def test_similar_documents_in_crowded_blocks(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile, raising=False)
+    base = prose(400, 78).split()
+    texts = {500: " ".join(base)}
+    for i in range(60):  # variants alike to the original, whose id is in their midst, but not to each other
+        words = list(base)
+        for j in range(8):
+            words[(i * 7 + j * 43) % 400] = f"v{i}x{j}"
+        texts[i * 17 + 1] = " ".join(words)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(alike(sets[500], s) for s in sets.values()) and not alike(sets[1], sets[18])
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, texts)).collect()}
+    assert got == roots([(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])], sorted(sets))
+
+
 # suffixes
 
 
