@@ -210,6 +210,31 @@ def test_chains_keep_order_and_gap_costs():
         assert len(pairs) == len(set(pairs)) <= len(once)
 
 
+def test_chains_reach_past_a_better_end_far_away():
+    far = np.arange(0, 200, 6)  # a long passage, and a second one 100 words on with two words put in
+    one, two = np.arange(300, 330, 6), np.arange(332, 362, 6)
+    a = np.concatenate([far, one, two])
+    b = np.concatenate([far, one, two - 2])
+    found = {p.tolist()[0]: p.tolist() for p, _ in passages.chains(a, b)}
+    assert found == {0: far.tolist(), 300: [*one.tolist(), *two.tolist()]}
+    rng = np.random.default_rng(4)
+    for _ in range(20):  # the best chain's score is that of a search through all predecessors
+        m = np.unique(np.column_stack([rng.integers(0, 150, 60), rng.integers(0, 150, 60)]), axis=0)
+        best = []
+        for x, y in m.tolist():
+            reach = [(s, x - u, y - v) for s, u, v in best if 0 < x - u <= passages.GAP and 0 < y - v <= passages.GAP]
+            best.append((max([5.0, *(s + min(5, c, d) - 0.5 * abs(c - d) - 0.02 * max(max(c, d) - 5, 0) for s, c, d in reach)]), x, y))
+        p, q = passages.chains(m[:, 0], m[:, 1])[0]
+        c, d = np.diff(p), np.diff(q)
+        assert np.isclose(5 + (np.minimum(np.minimum(c, d), 5) - 0.5 * abs(c - d) - 0.02 * np.maximum(np.maximum(c, d) - 5, 0)).sum(), max(best)[0])
+
+
+def test_second_passage_behind_a_longer_one(spark):
+    p, q = prose(200, 21), prose(60, 22).split()
+    texts = {1: f"{p} {prose(90, 23)} {' '.join(q)}", 2: f"{p} {prose(90, 24)} {' '.join([*q[:30], 'inserted', *q[30:]])}"}
+    assert passages.dedup(frame(spark, texts)).where("doc_id = 2").first().n_removed >= 258
+
+
 def test_fenwick_prefix_maxima():
     tree, values = passages.Fenwick(50), {}
     rng = np.random.default_rng(1)
