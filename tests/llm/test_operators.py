@@ -196,6 +196,28 @@ def test_passages_are_cut_from_all_but_the_first(spark):
     assert got[1].text == texts[1] and got[6].text is None and got[7].text == ""
 
 
+def _halves(n):
+    """A passage of two halves in documents 100 and 900, and n documents on either side of 100 and before 900 with one half."""
+    a, b = prose(30, 31), prose(30, 32)
+    around = lambda k, t: f"{prose(20, 1000 + k)} {t} {prose(20, 3000 + k)}"
+    alone = [*range(1, 1 + n), *range(400, 400 + n)]
+    return {k: around(k, (a, b)[k % 2]) for k in alone} | {k: around(k, f"{a} {b}") for k in (100, 900)}
+
+
+@pytest.mark.parametrize("n", [4, 40])
+def test_a_passage_finds_the_document_that_has_it_all(spark, n):
+    got = {r.doc_id: r for r in passages.dedup(frame(spark, _halves(n))).collect()}
+    assert {k for k, r in got.items() if r.n_removed} == {900} and got[900].n_removed >= 60 and got[900].partners == [100]
+
+
+@pytest.mark.parametrize("places", [1, 12])
+def test_a_phrase_that_stands_earlier_in_the_partner(spark, places):
+    p = prose(60, 41).split()
+    early = " ".join(f"{prose(30, 4000 + k)} {' '.join(p[20:44])}" for k in range(places))
+    texts = {1: f"{early} {prose(70, 43)} {' '.join(p)} {prose(20, 44)}", 2: f"{prose(20, 45)} {' '.join(p)} {prose(20, 46)}"}
+    assert passages.dedup(frame(spark, texts)).where("doc_id = 2").first().n_removed >= 60
+
+
 def test_chains_keep_order_and_gap_costs():
     a = np.array([0, 5, 10, 15, 40, 41, 12])
     b = np.array([100, 105, 110, 116, 20, 21, 300])
