@@ -19,6 +19,8 @@ HIDDEN = set("head script style title template noscript iframe noembed noframes
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol menu dir dl table figure fieldset hr".split())
 CLOSES_P = BLOCK - set("html body dd dt li option optgroup td th tr tbody thead tfoot caption legend".split())
+#: Start tags that leave an open head open; any other, and text that is not blank, ends it and begins the body.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title head html".split())
 #: A start tag of the key ends open elements of the first kind, up to one of the second.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -64,6 +66,8 @@ class _Page:
         self.out = [self.open[0]]  # the boxes with lines of their own
 
     def text(self, data: str) -> None:
+        if self.open[-1].tag == "head" and _BLANK.sub("", data):
+            self.start("body", "")
         box = self.open[-1]
         if box.hidden or (box.tag == "details" and box.count):
             return
@@ -101,6 +105,8 @@ class _Page:
             self.out[-1].gap = 1
 
     def start(self, tag: str, attributes: str) -> None:
+        if self.open[-1].tag == "head" and tag not in IN_HEAD and tag != "body":
+            self.start("body", "")
         if tag in IMPLIED:
             ends, stop = IMPLIED[tag]
             self.close_within(ends, stop)

@@ -455,6 +455,20 @@ def test_pages_are_rendered(html, text):
     assert htmltext.render(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>T</title><p>Hello <b>you</b></html>", "Hello you"),
+        ("<head><meta charset=utf-8><link rel=x><script>a</script>\nplain text<div>more</div>", "plain text\nmore"),
+        ("<head><title>T</title><noscript><p>no</p></noscript><style>p{}</style><h1>x</h1>", "x"),
+        ("<head><title>T</title></head><body>x", "x"),
+        ("<head><template><div>no</div></template><br>x", "x"),
+    ],
+)
+def test_a_head_ends_without_tags(html, text):
+    assert htmltext.render(html) == text
+
+
 def test_deep_and_broken_pages(spark):
     assert htmltext.render("<div>" * 20000 + "x") == "x"
     assert htmltext.render("<table><tr><td>" * 50 + "x").strip() == "x"
