@@ -6,8 +6,8 @@ consecutive: together they are one stretch of text. Homes that occur once in the
 others, equal stretches are counted as one; where different ones remain under a home, stretches are dealt by home into
 shards, each sorted as a suffix array by Larsson-Sadakane refinement, with Kasai's common prefixes between neighbours.
 
-A home that more than CROWD different stretches share is dealt into many shards. Each of these sends its strings' digests
-to be counted across shards, and looks them up in the sorted list that comes back by binary search.
+A home that more than CROWD different stretches share gets no suffix array and no merge by binary search: its strings are
+counted by their 64-bit digests, and the counts joined back. Stretches that repeat wholly are found by digest as well.
 """
 
 from __future__ import annotations
