@@ -2,12 +2,15 @@
 
 Only neighbourhoods that can repeat are sorted. A string of LENGTH bytes is at home at the smallest gram (GRAM bytes, by hash;
 the leftmost of equals) within it, so equal strings have equal homes. The strings of a document that share a home are
-consecutive: together they are one stretch of text. Homes that occur once in the corpus cannot hold a repeat. Of the
-others, equal stretches are counted as one; where different ones remain under a home, stretches are dealt by home into
-shards, each sorted as a suffix array by Larsson-Sadakane refinement, with Kasai's common prefixes between neighbours.
-
-A home that more than CROWD different stretches share gets no suffix array and no merge by binary search: its strings are
-counted by their 64-bit digests, and the counts joined back. Stretches that repeat wholly are found by digest as well.
+consecutive: together they are one stretch of text. Homes that occur once in the corpus cannot hold a repeat. Equal stretches are one
+class with a count. Where a home has different ones, the classes are dealt by home and cut into shards of SHARD bytes; each
+shard is sorted as a suffix array by Larsson-Sadakane refinement, with Kasai's common prefixes between neighbours, and the
+strings of a home that lies in several shards are merged by binary search: those of the later shard are looked up in the
+sorted strings of the earlier ones.
+
+A home whose classes take more than MOST bytes is dealt again by longer grams: its strings are halved by the place of the
+home in them, and all strings of a half share more bytes around the home, which are its new home. Halves of single places are
+equal strings, so that ends, and every task holds MOST + SHARD bytes of text at most.
 """
 
 from __future__ import annotations
@@ -20,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, prefix, runs, spans
+from .common import cut, mix, packed, prefix, runs, spans
 
 LENGTH, GRAM = 400, 48
-#: Different stretches of a home that one shard takes; bytes of a shard.
-CROWD, SHARD = 512, 1 << 20
+#: Bytes of a shard, and of the stretches of a home that are merged in one task.
+SHARD, MOST = 1 << 20, 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
 _NO_ID = -(1 << 63)
 
 
 def homes(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, home, digest, start, count) of the stretches: `count` strings from byte `start` of its row share a home."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """(row, home, digest, start, count, place) of the stretches: `count` strings from byte `start` of its row share a home, `place` bytes on."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     if len(buf) < length:
         return none
     sums = prefix(buf)
@@ -59,7 +62,7 @@ def homes(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     first = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (row[1:] != row[:-1])]))
     many = np.diff(np.append(first, len(q)))
     start = q[first]
-    return row[first], g[home[first]], spans(sums, start, start + many + length - 1), start - off[row[first]], many
+    return row[first], g[home[first]], spans(sums, start, start + many + length - 1), start - off[row[first]], many, home[first] - start
 
 
 def suffix_array(buf: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,125 +137,230 @@ def common_prefixes(buf: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.
     return np.where(follows, np.maximum(out[anchor] - (at - anchor), 0), out)
 
 
-def repeated(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, which of its strings of `length` bytes also start elsewhere in the shard."""
-    off = np.cumsum([0, *map(len, texts)])
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    if not len(buf):
-        return [np.zeros(0, bool) for _ in texts]
-    ends = np.repeat(off[1:], np.diff(off))
-    order, _ = suffix_array(buf, ends, length)
-    shared = common_prefixes(buf, ends, order)
-    hit = shared >= length
-    again = hit.copy()
-    first = hit[order]
-    again[order[:-1][first[1:]]] = True
-    return [again[off[k] : max(off[k + 1] - length + 1, off[k])] for k in range(len(texts))]
+class Shard:
+    """The strings of `length` bytes of a shard's texts, in order: their starts, and the classes of equal ones."""
+
+    def __init__(self, rows: list[tuple], texts: list[bytes], length: int = LENGTH):
+        self.rows, self.length = rows, length
+        self.off = np.cumsum([0, *map(len, texts)])
+        self.buf = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.repeat(self.off[1:], np.diff(self.off))
+        order, _ = suffix_array(self.buf, ends, length)
+        shared = common_prefixes(self.buf, ends, order)
+        self.starts = order[order + length <= ends[order]]
+        self.first = shared[self.starts] < length
+        self.classes = np.cumsum(self.first) - 1
+        self.again = np.bincount(self.classes, minlength=1) > 1  # by class: whether its string starts more than once
+        self._words: np.ndarray | None = None
+
+    def words(self) -> np.ndarray:
+        """The eight bytes from each position on, as numbers in the order of the bytes."""
+        if self._words is None:
+            padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+            self._words = np.lib.stride_tricks.as_strided(padded, (len(self.buf), 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
+        return self._words
+
+    def of_group(self, group: int) -> np.ndarray:
+        """Places in `starts` of one string of each class of the rows of a group; the rows of a group are consecutive."""
+        own = [k for k, r in enumerate(self.rows) if r[0] == group]
+        low, high = self.off[own[0]], self.off[own[-1] + 1]
+        return np.flatnonzero(self.first & (self.starts >= low) & (self.starts < high))
+
+    def merge(self, other: "Shard", group: int) -> None:
+        """Mark the classes of a group whose strings both shards have: a binary search of the own strings in the other's sorted ones."""
+        mine, theirs = self.of_group(group), other.of_group(group)
+        at = search(other.words(), other.starts[theirs], self.words(), self.starts[mine], self.length)
+        hit = np.flatnonzero(at >= 0)
+        self.again[self.classes[mine[hit]]] = True
+        other.again[other.classes[theirs[at[hit]]]] = True
+
+    def found(self) -> np.ndarray:
+        """(row, first, end): maximal runs of the starts of strings that start elsewhere too, in bytes of their rows."""
+        flags = np.zeros(len(self.buf) + 2, np.int8)
+        flags[self.starts[self.again[self.classes]] + 1] = 1
+        edge = np.flatnonzero(np.diff(flags)).reshape(-1, 2)
+        row = np.searchsorted(self.off, edge[:, 0], "right") - 1
+        return np.column_stack([row, edge - self.off[row][:, None]])
+
+
+def search(words: np.ndarray, sorted_starts: np.ndarray, other: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each string of `other`, its place among the sorted different strings of `words`, or -1.
+
+    A binary search for all strings at once, eight bytes at a time: what agrees so far is a range of the sorted strings, and each
+    further number narrows the range.
+    """
+    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(sorted_starts), np.int64)
+    live = np.arange(len(starts)) if len(sorted_starts) else np.zeros(0, np.int64)
+    steps = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else [])
+    for step in steps:
+        x = other[starts[live] + step]
+        a, b = words[sorted_starts[low[live]] + step], words[sorted_starts[high[live] - 1] + step]
+        some = (x >= a) & (x <= b)
+        high[live[~some]] = low[live[~some]]
+        narrow = some & (a != b)
+        narrowed, x = live[narrow], x[narrow]
+        for side in ("left", "right"):
+            i, j = low[narrowed], high[narrowed]
+            while (open_ := np.flatnonzero(i < j)).size:
+                k = (i[open_] + j[open_]) // 2
+                y = words[sorted_starts[k] + step]
+                right = y < x[open_] if side == "left" else y <= x[open_]
+                i[open_[right]], j[open_[~right]] = k[right] + 1, k[~right]
+            if side == "left":
+                first = i
+            else:
+                low[narrowed], high[narrowed] = first, i
+        live = live[some]
+        live = live[low[live] < high[live]]
+        if not len(live):
+            break
+    out = np.full(len(starts), -1, np.int64)
+    out[live] = low[live]
+    return out
+
+
+def merged(stretches: Iterator[tuple], length: int = LENGTH, size: int = SHARD) -> Iterator[Shard]:
+    """Shards of the stretches (group, ..., text), in order of their groups, once all their groups are complete and merged."""
+    held: list[Shard] = []
+    rows, texts, total = [], [], 0
+
+    def done() -> Iterator[Shard]:
+        nonlocal held
+        shard = Shard(rows, texts, length)
+        for other in held:
+            if other.rows[-1][0] == rows[0][0]:
+                shard.merge(other, rows[0][0])
+        if held and (held[-1].rows[-1][0] != rows[0][0] or rows[-1][0] != rows[0][0]):
+            yield from held
+            held = []
+        held.append(shard)
+
+    for *row, text in stretches:
+        if texts and total + len(text) > size:
+            yield from done()
+            rows, texts, total = [], [], 0
+        rows.append(tuple(row)), texts.append(text)
+        total += len(text)
+    if texts:
+        yield from done()
+    yield from held
 
 
-def _intervals(flags: np.ndarray) -> np.ndarray:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edge.reshape(-1, 2)
+def _batch(columns: list, types: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-_FOUND = "id long, a long, b long"
+_FOUND = "id long, v long, a long, b long"
+_STRETCH = ["h", "t", "c", "id", "v", "q", "m", "p", "low", "high"]
+_PART = ", ".join(f"{n} long" for n in _STRETCH) + ", part binary"
+_PART_TYPES = [pa.int64()] * len(_STRETCH) + [pa.binary()]
 
 
-def _batch(columns: list, types: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+def _kinds(stretches: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Classes of equal stretches of a home: how many there are, and one of them."""
+    return stretches.groupBy("h", "t").agg(F.sum("c").alias("c"), F.min(F.struct("id", "v", "q", "m", "p", *more)).alias("r"))
+
+
+def _groups(kinds: DataFrame, length: int) -> DataFrame:
+    """Homes with different stretches of which one at least is not known to repeat, and the bytes that these take."""
+    sizes = kinds.groupBy("h").agg(F.count("*").alias("d"), F.min("c").alias("least"), F.sum(F.col("r.m") + (length - 1)).alias("bytes"))
+    return cut(sizes.where("d > 1 AND least = 1").select("h", (F.col("bytes") > MOST).alias("large")))
+
+
+def _range(who: DataFrame, length: int) -> DataFrame:
+    return who.select("id", "v", F.col("q").alias("a"), (F.col("q") + F.col("m") + (length - 1)).alias("b"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, a, b): byte ranges of docs (id, text) under strings of `length` bytes that also start elsewhere; they may overlap."""
-    plain = docs.select("id", "text")
+    """(id, v, a, b): byte ranges of docs (id, v, text) under strings of `length` bytes that also start elsewhere; they may overlap.
 
-    def only_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = packed(batch.column(0))
-            for i, j in runs(off, 1 << 20):
-                _, home, _, _, _ = homes(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                h, n = np.unique(home, return_counts=True)
-                yield _batch([h.view(np.int64), n], [pa.int64(), pa.int64()], ["h", "n"])
+    id and v together name a text; rows of one (id, v) must have the same text, and are repeats of each other.
+    """
+    plain, size = docs.select("id", "v", "text"), SHARD
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            buf, off = packed(batch.column(1))
+            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            buf, off = packed(batch.column(2))
             for i, j in runs(off, 1 << 20):
-                row, home, digest, start, count = homes(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                yield _batch([ids[row + i], home.view(np.int64), digest.view(np.int64), start, count], [pa.int64()] * 5, ["id", "h", "t", "q", "m"])
-
-    again = plain.select("text").mapInArrow(only_homes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    kept = cut(plain.mapInArrow(stretches, "id long, h long, t long, q long, m long").join(again, "h"))
-    kinds = kept.groupBy("h", "t").agg(F.count("*").alias("c"), F.min(F.struct("id", "q", "m")).alias("r"))
-    crowd = kinds.groupBy("h").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1")
-    whole = kept.join(kinds.where("c > 1").select("h", "t"), ["h", "t"]).select("id", F.col("q").alias("a"), (F.col("q") + F.col("m") + (length - 1)).alias("b"))
-    sought = kinds.join(crowd, "h").select("h", "t", "c", "d", "r.id", "r.q", "r.m")
-    asked = sought.groupBy("id").agg(F.collect_list(F.struct("h", "t", "c", "d", "q", "m")).alias("asked"))
+                row, home, digest, start, count, place = homes(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
+                yield _batch([home.view(np.int64), digest.view(np.int64), ids[row + i], versions[row + i], start, count, place], [pa.int64()] * 4 + [pa.int32()] * 3, ["h", "t", "id", "v", "q", "m", "p"])
+
+    every = cut(plain.mapInArrow(stretches, "h long, t long, id long, v long, q int, m int, p int"))
+    again = cut(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    kept = cut(every.join(again, "h").withColumn("c", F.lit(1)))
+    kinds = _kinds(kept)
+    groups = _groups(kinds, length)
+    found = _range(kept.join(kinds.where("c > 1").select("h", "t"), ["h", "t"]), length)
+    sought = kinds.join(groups, "h").select("h", "t", "c", "large", "r.id", "r.v", "r.q", "r.m", "r.p")
+    asked = sought.groupBy("id", "v").agg(F.collect_list(F.struct("h", "t", "c", "q", "m", "p", "large")).alias("asked"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = packed(batch.column(1))
+            buf, off = packed(batch.column(2))
             text = buf.tobytes()
-            lists = batch.column(2)
+            lists = batch.column(3)
             flat = lists.flatten()
             per = np.diff(lists.offsets.to_numpy())
-            at = np.repeat(off[:-1], per)
-            f = {n: flat.field(n).to_numpy() for n in ("h", "t", "c", "d", "q", "m")}
-            size = 0
-            rows: list[int] = []
-            for k in range(len(at) + 1):
-                if rows and (k == len(at) or size > 1 << 22):
-                    r = np.array(rows)
-                    parts = [text[a : a + n] for a, n in zip(at[r] + f["q"][r], f["m"][r] + length - 1, strict=True)]
-                    ids = np.repeat(batch.column(0).to_numpy(), per)[r]
-                    yield _batch([f["h"][r], f["t"][r], f["c"][r], f["d"][r], ids, f["q"][r], parts], [pa.int64()] * 6 + [pa.binary()], ["h", "t", "c", "d", "id", "q", "part"])
-                    rows, size = [], 0
-                if k < len(at):
-                    rows.append(k)
-                    size += int(f["m"][k]) + length
-
-    parts = plain.join(asked, "id").select("id", "text", "asked").mapInArrow(slices, "h long, t long, c long, d long, id long, q long, part binary")
-    parts = cut(parts)
+            f = {n: flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("h", "t", "c", "q", "m", "p", "large")}
+            _, once = np.unique(np.column_stack([f["h"], f["t"]]), axis=0, return_index=True)  # a row repeated gives its stretches once
+            at = np.repeat(off[:-1], per)[once] + f["q"][once]
+            to = at + f["m"][once] + length - 1
+            own = [np.repeat(batch.column(k).to_numpy(), per)[once] for k in (0, 1)]
+            ends = np.append(np.flatnonzero(np.diff((np.cumsum(to - at)) >> 22)) + 1, len(at))
+            for i, j in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                k = once[i:j]
+                whole = [np.zeros(j - i, np.int64), np.full(j - i, length - gram)]
+                columns = [f["h"][k], f["t"][k], f["c"][k], own[0][i:j], own[1][i:j], f["q"][k], f["m"][k], f["p"][k], *whole, [text[a:b] for a, b in zip(at[i:j], to[i:j], strict=True)], f["large"][k].astype(bool)]
+                yield _batch(columns, [*_PART_TYPES, pa.bool_()], [*_STRETCH, "part", "large"])
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, _, c, i, v, q, m, p, low, high, part in zip(*(batch.column(k).to_pylist() for k in range(len(_STRETCH) + 1)), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(p - b, 0), min(p - a, m - 1)  # strings with the home a to b bytes on
+                    if a > b or first > last:
+                        continue
+                    text = part[first : last + length]
+                    sums = prefix(np.frombuffer(part, np.uint8))
+                    home, digest = spans(sums, np.array([p - a, first]), np.array([p + length - b, last + length]))
+                    key = mix(np.array([home ^ np.uint64(a * 0x9E3779B1 + b)]))[0]
+                    out.append((int(key.view(np.int64)), int(mix(np.array([digest + np.uint64(p - first)]))[0].view(np.int64)), c, i, v, q + first, last - first + 1, p - first, a, b, text))
+            yield _batch(list(zip(*out, strict=True)) or [()] * len(_PART_TYPES), _PART_TYPES, [*_STRETCH, "part"])
+
+    parts = plain.join(asked, ["id", "v"]).select("id", "v", "text", "asked").mapInArrow(slices, _PART + ", large boolean")
+    few = None
+    while groups.where("large").head(1):
+        parts = cut(parts)
+        small = parts.where("NOT large").drop("large")
+        few = small if few is None else few.unionByName(small)
+        half = cut(parts.where("large").drop("large").mapInArrow(halves, _PART))
+        kinds = _kinds(half, ("low", "high", "part"))
+        groups = _groups(kinds, length)
+        found = found.unionAll(_range(half.where("c = 1").join(kinds.where("c > 1").select("h", "t"), ["h", "t"]), length))
+        parts = kinds.join(groups, "h").select("h", "t", "c", "r.*", "large").select(*_STRETCH, "part", "large")
+    parts = parts.drop("large")
+    parts = parts if few is None else few.unionByName(parts)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def done() -> pa.RecordBatch:
-            out: list[tuple] = []
-            for (_, c, i, q, _), flags in zip(held, repeated([x[4] for x in held], length), strict=True):
-                if c == 1:
-                    out += [(i, q + a, q + b - 1 + length) for a, b in _intervals(flags)]
-            return _batch(list(zip(*out, strict=True)) or [()] * 3, [pa.int64()] * 3, ["id", "a", "b"])
+        def rows() -> Iterator[tuple]:
+            last = None
+            for batch in batches:
+                for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                    if row[:2] != last:
+                        yield row
+                    last = row[:2]
 
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if size > SHARD and held[-1][0] != row[0]:  # a home's stretches stay together
-                    yield done()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield done()
-
-    few = parts.where(F.col("d") <= CROWD).select("h", "c", "id", "q", "part")
-    sorted_few = few.repartition("h").sortWithinPartitions("h").mapInArrow(shards, _FOUND)
-
-    # homes of a crowd: digests of the strings, counted across shards
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c, i, q = (batch.column(k).to_numpy() for k in range(4))
-            for k, part in enumerate(batch.column(4)):
-                buf = np.frombuffer(part.as_buffer(), np.uint8)
-                at = np.arange(len(buf) - length + 1)
-                digest = spans(prefix(buf), at, at + length).view(np.int64)
-                yield _batch([np.full(len(at), h[k]), digest, np.full(len(at), c[k]), np.full(len(at), i[k]), q[k] + at], [pa.int64()] * 5, ["h", "s", "c", "id", "q"])
+        for shard in merged(rows(), length, size):
+            hit = shard.found()
+            c, i, v, q = (np.array([r[k] for r in shard.rows], np.int64)[hit[:, 0]] for k in (2, 3, 4, 5))
+            one = c == 1  # the others are known to repeat
+            yield _batch([i[one], v[one], (q + hit[:, 1])[one], (q + hit[:, 2] - 1 + length)[one]], [pa.int64()] * 4, ["id", "v", "a", "b"])
 
-    many = parts.where(F.col("d") > CROWD).select("h", "c", "id", "q", "part").mapInArrow(digests, "h long, s long, c long, id long, q long")
-    met = many.groupBy("h", "s").agg(F.sum("c").alias("n"), F.min(F.struct("id", "q")).alias("one")).where("n > 1").select("h", "s")
-    crowded = many.where("c = 1").join(met, ["h", "s"]).select("id", F.col("q").alias("a"), (F.col("q") + length).alias("b"))
-    return whole.unionAll(sorted_few).unionAll(crowded)
+    sorted_ = parts.select("h", "t", "c", "id", "v", "q", "part").repartition("h").sortWithinPartitions("h", "t")
+    return found.unionAll(sorted_.mapInArrow(shards, _FOUND))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
@@ -260,12 +368,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bo
 
     Removed is each byte of the UTF-8 text under a string of `length` bytes that also starts anywhere else: in another row
     or elsewhere in its own; strings are judged on the input. Null text counts as empty; texts shorter than `length` stay whole.
-    Equal texts in several rows are repeats of each other, so a text of `length` bytes or more that occurs twice is removed wholly from both. Rows repeated
-    with one doc_id share their removed ranges; a null doc_id is a value like any other. Extra columns are ignored; an
-    empty table gives an empty result.
+    Equal texts in several rows are repeats of each other, so a text of `length` bytes or more that occurs twice is removed wholly from both,
+    whether the rows have one doc_id or two. Rows with one doc_id and different texts, or with a null doc_id, are rows like any other. Extra
+    columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = repeats(rows, length, gram).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("v"), text.alias("text"))
+    found = repeats(rows, length, gram).groupBy("id", "v").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
@@ -296,5 +405,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bo
             types = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * keep_text
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    done = rows.join(found, "id", "left").select("id", "text", "cuts").mapInArrow(of, schema)
+    done = rows.join(found, ["id", "v"], "left").select("id", "text", "cuts").mapInArrow(of, schema)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

@@ -149,18 +149,44 @@ def _suffix_brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [512, 0, 2])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffixes, "CROWD", crowd)
+@pytest.mark.parametrize("shard, most", [(1 << 20, 1 << 22), (700, 1 << 22), (900, 1500), (300, 0)])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, shard, most):
+    monkeypatch.setattr(suffixes, "SHARD", shard)
+    monkeypatch.setattr(suffixes, "MOST", most)
     shared = prose(60, 3)
     texts = {i: prose(40) for i in range(8)} | {20 + i: prose(20) + " " + shared[i : 200 + 3 * i] + " " + prose(10) for i in range(12)}
     texts |= {60: shared, 61: shared, 62: shared + shared, 63: "ab" * 200} | {100 + i: v for i, v in ODD.items()}
+    texts |= {200 + i: f"{prose(9)} {shared[40 + i % 3 : 180]}{(' left', ' right')[i % 2]} side {prose(9)}" for i in range(20)}
     for length, gram in ((40, 8), (90, 20)):
         got = suffixes.dedup(frame(spark, texts), length, gram, keep_text=True).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == _suffix_brute(texts, length)
         assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_suffix_dedup_keeps_rows_of_one_id_apart(spark):
+    p = prose(30, 4)
+    rows = [(1, f"{prose(9)} {p}"), (1, prose(50)), (1, f"{p} {prose(9)}"), (None, p), (None, None), (None, prose(40)), (2, prose(45)), (2, prose(45, 6)), (2, prose(45, 6)), (None, prose(45, 7)), (None, prose(45, 7))]
+    docs = spark.createDataFrame([(i, t, b"x", 5) for i, t in rows], "doc_id long, text string, kept binary, n_bytes int").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(docs, 60, 12).collect())
+    want = _suffix_brute(dict(enumerate(t for _, t in rows)), 60)
+    assert got == Counter((i, *want[k]) for k, (i, _) in enumerate(rows))
+    assert suffixes.dedup(docs.limit(0)).count() == 0
+
+
+def test_shards_are_merged_by_binary_search():
+    rng = np.random.default_rng(3)
+    stretches = [(g, 20 * g + k, bytes(rng.integers(97 + 2 * g, 99 + 2 * g, int(rng.integers(5, 60))).astype(np.uint8))) for g in range(3) for k in range(20)]
+    for length in (8, 11, 16):
+        seen = Counter(t[i : i + length] for _, _, t in stretches for i in range(len(t) - length + 1))
+        want = {k: {i for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1} for _, k, t in stretches}
+        for size in (40, 200, 10**6):
+            got = {k: set() for k in want}
+            for shard in suffixes.merged(iter(stretches), length, size):
+                for r, a, b in shard.found().tolist():
+                    got[shard.rows[r][1]].update(range(a, b))
+            assert got == want
+
+
 def test_suffix_array_is_sorted():
     text = bytes(np.random.default_rng(0).integers(97, 100, 500).astype(np.uint8))
     buf = np.frombuffer(text, np.uint8)
