@@ -222,6 +222,38 @@ def test_passages_are_cut_from_all_but_the_first(spark):
     assert got[1].text == texts[1] and got[6].text is None and got[7].text == ""
 
 
+def test_passages_of_repeated_and_null_ids(spark):
+    p, q = prose(80, 91), prose(70, 92)
+    rows = [(1, f"{p} {prose(30, 93)}"), (1, f"{prose(30, 94)} {q}"), (None, f"{q} {prose(20, 95)}"), (2, p), (2, p), (3, f"{prose(9, 96)} {q}"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, 7, ["x"]) for i, t in rows], "doc_id long, text string, n_words int, partners array<string>").repartition(3)
+    got = passages.dedup(docs).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_words or 0, r.n_removed) for r in got) == sorted(((i is None, i or 0), len((t or "").split()), {(1, 100): 70, (3, 79): 70}.get((i, len((t or "").split())), 80 if t == p else 0)) for i, t in rows)
+    assert {tuple(r.partners) for r in got if r.doc_id == 2} == {(1,)} and sum(r.text is None for r in got) == 1
+    assert passages.dedup(docs.limit(0)).count() == 0
+
+
+def test_passages_of_many_documents_match_brute_force(spark):
+    """Every word of a verbatim run of 50 words or more that an earlier document has is removed, and no other, but for chance matches at its ends."""
+    shared = [prose(n, 500 + n).split() for n in (60, 75, 120)]
+    texts = {}
+    for i in range(60):
+        rng = np.random.default_rng(i)
+        parts = [prose(int(rng.integers(5, 40)), 7000 + i).split()]
+        for k in rng.choice(3, int(rng.integers(0, 3)), replace=False):
+            parts += [shared[k], prose(int(rng.integers(70, 90)), 8000 + 3 * i + int(k)).split()]
+        texts[i] = " ".join(w for p in parts for w in p)
+    seen, want = set(), {}
+    for i, t in texts.items():
+        w = t.split()
+        gone, grams = np.zeros(len(w), bool), [tuple(w[k : k + 50]) for k in range(max(len(w) - 49, 0))]
+        for k, g in enumerate(grams):
+            gone[k : k + 50] |= g in seen
+        seen |= set(grams)
+        want[i] = int(gone.sum())
+    got = {r.doc_id: r.n_removed for r in passages.dedup(frame(spark, texts)).collect()}
+    assert sum(want.values()) > 1000 and all(abs(got[i] - want[i]) <= 2 * (want[i] > 0) for i in texts)
+
+
 def _halves(n):
     """A passage of two halves in documents 100 and 900, and n documents on either side of 100 and before 900 with one half."""
     a, b = prose(30, 31), prose(30, 32)
