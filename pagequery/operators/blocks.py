@@ -25,8 +25,12 @@ def padding_waste(lengths: DataFrame, by: list[str]) -> DataFrame:
 
 def full_blocks(tokens: Column, size: int) -> Column:
     """The whole blocks of a token array; what is left over drops out."""
-    n = F.floor(F.size(tokens) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(tokens, i * size + 1, size))).otherwise(F.array().cast("array<array<string>>"))
+
+    def of(t: Column) -> Column:
+        n = F.floor(F.size(t) / size).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(t, i * size + 1, size))).otherwise(F.array().cast("array<array<string>>"))
+
+    return F.element_at(F.transform(F.array(tokens), of), 1)  # tokens are computed once, not for each block
 
 
 def chain_hashes(blocks: Column, root: str = "root") -> Column:
@@ -39,18 +43,20 @@ def prefix_hits(requests: DataFrame, order: str, hashes: str = "hashes") -> Data
     """(order, n_blocks, n_hit): leading blocks of each request whose chain hash an earlier request had, in a cache without bound.
 
     Chain hashes know their whole prefix, so an earlier holder of one has all before it: the hits are the hashes seen before, counted.
+    Hashes are computed once, and shuffled by themselves; a request without blocks goes by its own order.
     """
-    long = requests.select(order, F.posexplode_outer(hashes).alias("i", "h"))
-    first = long.where("h IS NOT NULL").groupBy("h").agg(F.min(order).alias("first"))
-    met = long.join(first, "h", "left")
-    return met.groupBy(order).agg(F.count("h").alias("n_blocks"), F.count_if(F.col("first") < F.col(order)).alias("n_hit"))
+    long = requests.select(order, F.explode_outer(hashes).alias("h"))
+    first = F.min(order).over(Window.partitionBy(F.coalesce("h", F.col(order).cast("string"))))
+    met = long.select(order, "h", (F.col("h").isNotNull() & (first < F.col(order))).alias("hit"))
+    return met.groupBy(order).agg(F.count("h").alias("n_blocks"), F.count_if("hit").alias("n_hit"))
 
 
-def prefix_sharing(lists: DataFrame, size: Column, by: list[str]) -> DataFrame:
+def prefix_sharing(lists: DataFrame, size: Column, by: list[str], sizes: DataFrame | None = None) -> DataFrame:
     """Blocks of sequences with and without sharing the common prefix of those that begin with the same document.
 
     lists has (by, seq, i, doc, cost), i from 1. Sequences are grouped by their first document; the longest prefix that all of a
     group share is stored once, in whole blocks, and each member's rest by itself. Groups of one share their whole list.
+    `size` may come from the short table `sizes`: prefixes are found once, and counted in blocks of each of its sizes.
     """
     first = lists.where("i = 1").select(*by, "seq", F.col("doc").alias("lead"))
     long = lists.join(first, [*by, "seq"])
@@ -61,6 +67,8 @@ def prefix_sharing(lists: DataFrame, size: Column, by: list[str]) -> DataFrame:
     marked = long.join(ends, [*by, "lead"])
     shared = F.col("i") < F.col("stop")
     seqs = marked.groupBy(*by, "lead", "seq").agg(F.sum("cost").alias("total"), F.sum(F.when(shared, F.col("cost")).otherwise(0)).alias("prefix"), F.count_if(shared).alias("docs"))
+    if sizes is not None:
+        seqs, by = seqs.join(F.broadcast(sizes)), [*sizes.columns, *by]
     groups = seqs.groupBy(*by, "lead").agg(
         F.sum(ceil_div(F.col("total"), size)).alias("paged"),
         ceil_div(F.max("prefix"), size).alias("once"),

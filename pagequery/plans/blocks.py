@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blocks as B
-from .tables import REQUESTS_SQL, part, requests, table
+from .tables import REQUESTS_SQL, requests, table
 
 #: Bytes of keys and values of a token in the larger model; sizes of a sweep.
 PER_TOKEN = 196_608
@@ -43,12 +43,11 @@ def padding_waste(spark, d):
 
 
 def _blocks(spark, d):
-    words = F.slice(F.split("text", " "), 1, 64)
-    return table(spark, d, "documents").select("doc_id", B.full_blocks(words, 4).alias("blocks"))
+    return table(spark, d, "documents").select("doc_id", B.full_blocks(F.split("text", " "), 4).alias("blocks"))
 
 
 def chain_hash(spark, d):
-    """The chain hash of the first block, of the second, and of the last of the first 64 words."""
+    """How many blocks a text has, and the chain hashes of its first and second one."""
     h = _blocks(spark, d).select("doc_id", B.chain_hashes(F.col("blocks")).alias("h"))
     return h.select("doc_id", F.size("h").alias("n"), F.try_element_at("h", F.lit(1)).alias("h1"), F.try_element_at("h", F.lit(2)).alias("h2"))
 
@@ -68,7 +67,7 @@ def _lists(spark, d, canonical=False):
 
 def prefix_sharing(spark, d):
     both = _lists(spark, d).withColumn("canonical", F.lit(False)).unionByName(_lists(spark, d, True).withColumn("canonical", F.lit(True)))
-    out = B.prefix_sharing(both.join(_sizes(spark)), F.col("block_size"), ["block_size", "canonical"])
+    out = B.prefix_sharing(both, F.col("block_size"), ["canonical"], _sizes(spark))
     return out.select("block_size", "canonical", "n_sequences", "total_tokens", "paged_blocks", "shared_blocks", F.round("saving_pct", 6).alias("saving_pct"), F.round("mean_prefix_docs", 6).alias("mean_prefix_docs"))
 
 
@@ -151,15 +150,15 @@ def refcount_ledger(spark, d):
     return out.groupBy("block").agg(F.max("refs").alias("most"), F.count_if("broken").alias("n_broken"), F.sum("delta").alias("left"))
 
 
-def duplicate_free_blocks(spark, d, whole=False):
+def duplicate_free_blocks(spark, d):
     """Blocks that a pool's free list holds twice."""
-    r = part(requests(spark, d), "session < 3", whole).select("session", (F.col("prompt") / 64).cast("long").alias("block"))
+    r = requests(spark, d).select("session", (F.col("prompt") / 64).cast("long").alias("block"))
     return r.groupBy("session").agg((F.count("*") - F.count_distinct("block")).alias("n_duplicates"))
 
 
-def block_gather(spark, d, whole=False):
+def block_gather(spark, d):
     """Logical positions of a sequence through its block map; the tail beyond its tokens is not read."""
-    docs = part(table(spark, d, "documents"), "doc_id < 50", whole).select("doc_id", (F.length("text") if whole else F.least(F.length("text"), F.lit(50))).alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
     mapped = docs.select("doc_id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / 16), F.lit(1)).cast("int") - 1), lambda i: (i * 7 + F.col("doc_id")) % 101)).alias("logical", "physical"))
     slots = mapped.select("doc_id", "n", "logical", "physical", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
     live = slots.where(F.col("logical") * 16 + F.col("slot") < F.col("n"))
@@ -186,7 +185,7 @@ QUERIES = {
 _SZ = "z AS (SELECT unnest([1, 8, 16, 32, 64])::BIGINT AS block_size)"
 _N = "n AS (SELECT doc_id, source, length(text) AS n FROM documents)"
 _IMG = "im AS (SELECT doc_id, 81 * (doc_id % 5 + 2) AS n_visual FROM documents)"
-_W = "w AS (SELECT doc_id, string_split(text, ' ')[1:64] AS t FROM documents), b AS (SELECT doc_id, len(t) // 4 AS n, t FROM w)"
+_W = "w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), b AS (SELECT doc_id, len(t) // 4 AS n, t FROM w)"
 _H1 = "substring(sha256('root|' || array_to_string(t[1:4], ',')), 1, 32)"
 _VICTIMS = f"""WITH r AS ({REQUESTS_SQL}), h AS (SELECT server, event_id, (prompt + 63) // 64 AS blocks, sum((prompt + 63) // 64) OVER (PARTITION BY server ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS f FROM r),
 v AS (SELECT server, event_id, blocks FROM h WHERE f - blocks < 40)"""
@@ -205,7 +204,7 @@ ORACLE_SQL = {
     "fragmentation": f"WITH {_N}, {_SZ}, s AS (SELECT block_size, sum((n + block_size - 1) // block_size)::BIGINT AS blocks, sum(n)::BIGINT AS n FROM n CROSS JOIN z GROUP BY block_size) SELECT block_size, blocks, blocks * block_size - n AS wasted, round((blocks * block_size - n) / (blocks * block_size), 6) AS waste FROM s",
     "padding_waste": f"WITH {_N} SELECT doc_id // 8 AS batch, (max(n) * count(*) - sum(n))::BIGINT AS padding, min(n) AS shortest, max(n) AS longest FROM n GROUP BY 1",
     "chain_hash": f"WITH {_W} SELECT doc_id, n::INTEGER AS n, CASE WHEN n >= 1 THEN {_H1} END AS h1, CASE WHEN n >= 2 THEN substring(sha256({_H1} || '|' || array_to_string(t[5:8], ',')), 1, 32) END AS h2 FROM b",
-    "prefix_hits": f"""WITH {_W}, p AS (SELECT doc_id, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(t[1:(4 * i)], ','))) AS p FROM b), f AS (SELECT p, min(doc_id) AS first FROM p GROUP BY p), c AS (SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (WHERE first < doc_id) AS n_hit FROM p JOIN f USING (p) GROUP BY doc_id)
+    "prefix_hits": f"""WITH {_W}, p AS (SELECT doc_id, unnest(list_transform(range(1, n + 1), lambda i: md5(array_to_string(t[1:(4 * i)], ',')))) AS p FROM b), f AS (SELECT p, min(doc_id) AS first FROM p GROUP BY p), c AS (SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (WHERE first < doc_id) AS n_hit FROM p JOIN f USING (p) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_hit, 0) AS n_hit FROM documents LEFT JOIN c USING (doc_id)""",
     "prefix_sharing": f"WITH {_SZ}, {_LISTS} SELECT block_size, canonical, sum(n)::BIGINT AS n_sequences, sum(tokens)::BIGINT AS total_tokens, sum(paged)::BIGINT AS paged_blocks, sum(kept)::BIGINT AS shared_blocks, round(100 * (sum(paged) - sum(kept)) / sum(paged), 6) AS saving_pct, round(sum(docs) / sum(n), 6) AS mean_prefix_docs FROM gr GROUP BY ALL",
     "model_dimensions": "SELECT * FROM (VALUES ('2.2B', 196608::BIGINT, 81::BIGINT, 1::BIGINT, false), ('256M', 23040::BIGINT, 64::BIGINT, 3::BIGINT, true)) t(model, per_token, per_tile, n_rep, uses_gqa)",
@@ -221,8 +220,8 @@ SELECT budget, blocks, (blocks - 4) * 16 AS max_prompt, count(*) FILTER (WHERE n
     "preempt_policies": f"{_VICTIMS}, p AS (SELECT *, ['swap', 'recompute', 'reject'][server % 3 + 1] AS policy FROM v) SELECT policy, count(*) AS n, sum(CASE WHEN policy = 'swap' THEN blocks ELSE 0 END)::BIGINT AS swapped, sum(CASE WHEN policy = 'recompute' THEN blocks * 64 ELSE 0 END)::BIGINT AS recomputed FROM p GROUP BY policy",
     "refcount_ledger": f"""WITH r AS ({REQUESTS_SQL}), o AS (SELECT prompt // 64 AS block, event_id * 2 AS op, 1 AS delta FROM r UNION ALL SELECT prompt // 64, event_id * 2 + 41, -1 FROM r), l AS (SELECT *, sum(delta) OVER (PARTITION BY block ORDER BY op ROWS UNBOUNDED PRECEDING) AS refs FROM o)
 SELECT block, max(refs)::BIGINT AS most, count(*) FILTER (WHERE refs < 0) AS n_broken, sum(delta)::BIGINT AS "left" FROM l GROUP BY block""",
-    "duplicate_free_blocks": f"WITH r AS ({REQUESTS_SQL}) SELECT session, count(*) - count(DISTINCT prompt // 64) AS n_duplicates FROM r WHERE session < 3 GROUP BY session",
-    "block_gather": "WITH s AS (SELECT doc_id, least(length(text), 50) AS n, unnest(range(least(length(text), 50))) AS p FROM documents WHERE doc_id < 50) SELECT doc_id, count(*) AS n, sum(((p // 16 * 7 + doc_id) % 101) * 16 + p % 16)::BIGINT AS checksum FROM s GROUP BY doc_id",
+    "duplicate_free_blocks": f"WITH r AS ({REQUESTS_SQL}) SELECT session, count(*) - count(DISTINCT prompt // 64) AS n_duplicates FROM r GROUP BY session",
+    "block_gather": "WITH s AS (SELECT doc_id, length(text) AS n, unnest(range(length(text))) AS p FROM documents) SELECT doc_id, count(*) AS n, sum(((p // 16 * 7 + doc_id) % 101) * 16 + p % 16)::BIGINT AS checksum FROM s GROUP BY doc_id",
     "prefill_chunks": f"WITH r AS ({REQUESTS_SQL}) SELECT event_id, (prompt + 511) // 512 AS n_chunks, greatest((prompt + 511) // 512 - 1, 0) AS first_token_step FROM r",
     "stop_positions": """WITH w AS (SELECT doc_id, string_split(text, ' ')[1:16] AS t FROM documents), p AS (SELECT doc_id, len(t) AS n, list_position(list_transform(t, lambda x: ends_with(x, '.')), true) AS ix FROM w)
 SELECT doc_id, CASE WHEN ix > 0 THEN ix ELSE n END::BIGINT AS n_tokens, CASE WHEN ix > 0 THEN 'stop' ELSE 'length' END AS reason FROM p""",

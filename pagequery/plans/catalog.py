@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +12,3 @@ _MODULES = (retrieval, workload, stats, load, blocks, vectors, simulate)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
-
-#: Queries above that read a subset, as their SQL does, in a form over all rows and whole texts; these have no SQL.
-WHOLE = (
-    "int4_groupwise int8_groupwise dequantized quant_error pack_roundtrip quant_plan softmax_attention blockwise_attention padded_gather rmsnorm rope"
-    " repeat_kv swiglu linear_layer attention_received attention_received_last frozen_trace canonical_order prompt_text prompt_part_counts levenshtein_pairs anls_scores anls_by_group ocr_lines"
-    " poisson_arrivals inflight_depth inflight_sampled duplicate_free_blocks block_gather single_sample_percentiles oov_queries gold_match"
-).split()
-QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE}

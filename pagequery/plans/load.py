@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import load as L
-from .tables import REQUESTS_SQL, part, requests
+from .tables import REQUESTS_SQL, requests
 
 #: Events are days apart for one user, so service is stretched to make queues: seconds of service for a unit of value.
 STRETCH = 2000
@@ -32,8 +32,8 @@ def _outcomes(spark, d):
     )
 
 
-def poisson_arrivals(spark, d, whole=False):
-    r = part(requests(spark, d), "server < 30", whole).select("server", "event_id")
+def poisson_arrivals(spark, d):
+    r = requests(spark, d).select("server", "event_id")
     gaps = r.withColumn("gap", L.exponential_gap(L.hashed_uniform(7, F.col("event_id")), F.lit(0.5)))
     return L.arrivals(gaps, ["server"], "event_id", "gap").select("server", "event_id", F.round("arrival", 6).alias("arrival"))
 
@@ -42,13 +42,13 @@ def fifo_finish(spark, d):
     return _queue(spark, d).select("event_id", "finish")
 
 
-def inflight_depth(spark, d, whole=False):
-    return L.inflight(part(_queue(spark, d), "server < 20", whole), ["server"], "arrival", "finish")
+def inflight_depth(spark, d):
+    return L.inflight(_queue(spark, d), ["server"], "arrival", "finish")
 
 
-def inflight_sampled(spark, d, whole=False):
+def inflight_sampled(spark, d):
     """Open requests at sampled times, each interval expanded to the samples in it: as a sampler thread would count."""
-    q = part(_queue(spark, d), "server < 10", whole)
+    q = _queue(spark, d)
     step = 6 * 3600 * 1_000_000
     first, last = F.ceil(F.col("arrival") / step), F.floor((F.col("finish") - 1) / step)
     hit = q.where(first <= last).select("server", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("sample"))
@@ -142,13 +142,13 @@ def _pct(x: str, name: str, places: int) -> str:
 
 
 ORACLE_SQL = {
-    "poisson_arrivals": f"""WITH r AS ({REQUESTS_SQL}), u AS (SELECT server, event_id, ('0x' || substring(md5('7:' || event_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM r WHERE server < 30)
+    "poisson_arrivals": f"""WITH r AS ({REQUESTS_SQL}), u AS (SELECT server, event_id, ('0x' || substring(md5('7:' || event_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM r)
 SELECT server, event_id, round(sum(-ln(1 - u) / 0.5) OVER (PARTITION BY server ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS arrival FROM u""",
     "fifo_finish": f"{_Q} SELECT event_id, finish FROM q",
-    "inflight_depth": f"""{_Q}, m AS (SELECT server, arrival AS t, 1 AS delta FROM q WHERE server < 20 UNION ALL SELECT server, finish, -1 FROM q WHERE server < 20), p AS (SELECT server, t, delta, sum(delta) AS change FROM m GROUP BY ALL)
+    "inflight_depth": f"""{_Q}, m AS (SELECT server, arrival AS t, 1 AS delta FROM q UNION ALL SELECT server, finish, -1 FROM q), p AS (SELECT server, t, delta, sum(delta) AS change FROM m GROUP BY ALL)
 SELECT server, t, delta, sum(change) OVER (PARTITION BY server ORDER BY t, delta DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS depth FROM p""",
     "inflight_sampled": f"""{_Q}, k AS (SELECT unnest(range((SELECT min(arrival) // 21600000000 FROM q), (SELECT max(finish) // 21600000000 + 1 FROM q))) AS sample)
-SELECT server, sample, count(*) AS depth FROM q JOIN k ON sample * 21600000000 >= arrival AND sample * 21600000000 < finish WHERE server < 10 GROUP BY ALL""",
+SELECT server, sample, count(*) AS depth FROM q JOIN k ON sample * 21600000000 >= arrival AND sample * 21600000000 < finish GROUP BY ALL""",
     "mean_inflight": f"{_Q} SELECT server, round(sum(finish - arrival) / greatest(max(finish) - min(arrival), 1e-9), 6) AS mean_inflight FROM q GROUP BY server",
     "cell_summary": f"""{_O} SELECT cell, count(*) AS n_requests, count(*) FILTER (WHERE {_DONE}) AS completed, count(*) FILTER (WHERE error IS NOT NULL) AS failed, count(*) FILTER (WHERE finish_t IS NULL AND error IS NULL) AS unfinished,
 round(sum(n_tokens) / {_W}, 4) AS tokens_per_s, round(count(*) FILTER (WHERE {_DONE}) / {_W}, 4) AS completed_per_s, {_pct("first_token_t - submit_t", "ttft_", 4)}, {_pct(f"CASE WHEN {_DONE} THEN finish_t - submit_t END", "e2e_", 4)} FROM o GROUP BY cell""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from .tables import part, table
+from .tables import table
 
 K = 5
 
@@ -49,22 +50,22 @@ def zero_vector_docs(spark, d):
     return docs.join(known, "doc_key", "left_anti").select(F.col("doc_key").alias("doc_id"))
 
 
-def oov_queries(spark, d, whole=False):
-    """Queries against a corpus of a tenth of the documents: how many of their terms it knows."""
-    docs = part(_docs(spark, d), "pos % 10 = 0", whole)
+def oov_queries(spark, d):
+    """Queries against the English documents as the corpus: how many of their terms it knows."""
+    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc_key"), F.col("doc_id").alias("pos"), "text")
     terms = R.term_counts(_queries(spark, d), "query_id", "question")
     vocab = R.fit(docs).vocab.select("term", F.lit(1).alias("known"))
     return terms.join(vocab, "term", "left").groupBy("query_id").agg(F.count("*").alias("n_terms"), F.count("known").alias("n_known"))
 
 
-def _gold(spark, d, whole=False):
+def _gold(spark, d):
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    met = docs.join(F.broadcast(items), F.expr("contains(doc_text, text)" if whole else "contains(doc_text, substring(text, 1, 60))"))
+    met = docs.join(F.broadcast(items), F.expr("contains(doc_text, text)"))
     return met.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("gold_doc_key"))
 
 
-def gold_match(spark, d, whole=False):
-    return _gold(spark, d, whole)
+def gold_match(spark, d):
+    return _gold(spark, d)
 
 
 def _top(spark, d, k):
@@ -133,7 +134,8 @@ def mean_pool(spark, d):
 
 def query_vector_bag(spark, d):
     """A bag-of-embeddings vector of each label's first three vectors: their mean, normalised."""
-    first = table(spark, d, "embeddings").where("vec_id < 30").select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("dim", "v"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    first = table(spark, d, "embeddings").withColumn("nth", nth).where("nth <= 3").select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("dim", "v"))
     pooled = first.groupBy("query_id", "dim").agg(F.avg(F.col("v").cast("double")).alias("v"))
     norms = pooled.groupBy("query_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return pooled.join(norms, "query_id").select("query_id", "dim", F.round(F.col("v") / F.col("norm"), 6).alias("v"))
@@ -155,7 +157,7 @@ sc AS (SELECT query_id, doc_id, sum(qc.tf * idf / qn.norm * (dc.tf * idf / dn.no
        FROM qc JOIN v USING (term) JOIN qn USING (query_id) JOIN dc USING (term) JOIN dn USING (doc_id) GROUP BY ALL),
 al AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM benchmark b CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN sc ON sc.query_id = b.item_id AND sc.doc_id = d.doc_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM al),
-gd AS (SELECT item_id AS query_id, min(doc_id) AS gold_doc_key FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 60)) GROUP BY 1)
+gd AS (SELECT item_id AS query_id, min(doc_id) AS gold_doc_key FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)
 """
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 
@@ -169,7 +171,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""
 
 
 def _pool_sql(key: str, where: str) -> str:
-    return f"""WITH p AS (SELECT {key} AS g, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings {where}),
+    return f"""WITH o AS (SELECT {key} AS g, embedding FROM embeddings {where}), p AS (SELECT g, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM o),
 m AS (SELECT g, dim, avg(v::DOUBLE) AS v FROM p GROUP BY ALL), n AS (SELECT g, sqrt(sum(v * v)) AS norm FROM m GROUP BY g)"""
 
 
@@ -181,7 +183,7 @@ ORACLE_SQL = {
     "idf": f"WITH {_BASE} SELECT term, round(idf, 6) AS idf FROM v",
     "doc_norms": f"WITH {_BASE} SELECT doc_id, round(norm, 4) AS norm FROM dn",
     "zero_vector_docs": f"SELECT doc_id FROM documents WHERE len({_TOK.format('CASE WHEN doc_id % 10 < 3 THEN chr(0) ELSE text END')}) = 0",
-    "oov_queries": f"""WITH {_BASE}, k AS (SELECT DISTINCT term FROM dc WHERE doc_id % 10 = 0)
+    "oov_queries": f"""WITH {_BASE}, k AS (SELECT DISTINCT term FROM dc JOIN documents USING (doc_id) WHERE lang = 'en')
 SELECT query_id, count(*) AS n_terms, count(k.term) AS n_known FROM qc LEFT JOIN k USING (term) GROUP BY query_id""",
     "gold_match": f"WITH {_BASE} SELECT * FROM gd",
     "recall_at_k": f"""WITH {_BASE}, kk AS (SELECT unnest([1, 5]) AS k)
@@ -195,5 +197,5 @@ SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""
     "hybrid_topk": _hybrid_sql(0.5),
     "hybrid_text_only": _hybrid_sql(0.0),
     "mean_pool": _pool_sql("label", "") + " SELECT g AS label, dim, round(CASE WHEN norm > 0 THEN v / norm ELSE 0 END, 6) AS v FROM m JOIN n USING (g)",
-    "query_vector_bag": _pool_sql("label", "WHERE vec_id < 30") + " SELECT g AS query_id, dim, round(v / norm, 6) AS v FROM m JOIN n USING (g)",
+    "query_vector_bag": _pool_sql("label", "QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3") + " SELECT g AS query_id, dim, round(v / norm, 6) AS v FROM m JOIN n USING (g)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -26,8 +27,7 @@ def allocator_conservation(spark, d):
 
 
 def _hashed(spark, d):
-    words = F.slice(F.split("text", " "), 1, 32)
-    docs = table(spark, d, "documents").select("doc_id", "source", B.chain_hashes(B.full_blocks(words, 4)).alias("hashes"))
+    docs = table(spark, d, "documents").select("doc_id", "source", B.chain_hashes(B.full_blocks(F.split("text", " "), 4)).alias("hashes"))
     return docs
 
 
@@ -42,7 +42,7 @@ def unbounded_prefix_replay(spark, d):
 
 def _scheduled(spark, d):
     r = requests(spark, d)
-    arrival = F.row_number().over(__import__("pyspark").sql.Window.partitionBy("server").orderBy("event_id")) * 3
+    arrival = F.row_number().over(Window.partitionBy("server").orderBy("event_id")) * 3
     return r.select("server", F.col("event_id").alias("id"), arrival.cast("long").alias("arrival"), (F.col("prompt") + 1).alias("prompt"), (F.col("event_id") % 7 + 1).alias("new"))
 
 
@@ -63,11 +63,11 @@ def scheduler_chunks(spark, d):
 
 QUERIES = {f.__name__: f for f in (allocator_replay, allocator_conservation, lru_prefix_replay, unbounded_prefix_replay, scheduler_replay, scheduler_conservation, scheduler_chunks)}
 
-_W = "w AS (SELECT doc_id, source, string_split(text, ' ')[1:32] AS t FROM documents), b AS (SELECT doc_id, source, len(t) // 4 AS n, t FROM w)"
+_W = "w AS (SELECT doc_id, source, string_split(text, ' ') AS t FROM documents), b AS (SELECT doc_id, source, len(t) // 4 AS n, t FROM w)"
 
 ORACLE_SQL = {
     "allocator_conservation": "SELECT user_id % 5 AS session, 0::BIGINT AS violations, count(*) AS n FROM events GROUP BY 1",
-    "unbounded_prefix_replay": f"""WITH {_W}, p AS (SELECT doc_id, source, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(t[1:(4 * i)], ','))) AS p FROM b), f AS (SELECT source, p, min(doc_id) AS first FROM p GROUP BY ALL),
+    "unbounded_prefix_replay": f"""WITH {_W}, p AS (SELECT doc_id, source, unnest(list_transform(range(1, n + 1), lambda i: md5(array_to_string(t[1:(4 * i)], ',')))) AS p FROM b), f AS (SELECT source, p, min(doc_id) AS first FROM p GROUP BY ALL),
 c AS (SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (WHERE first < doc_id) AS n_hit FROM p JOIN f USING (source, p) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_hit, 0) AS n_hit FROM documents LEFT JOIN c USING (doc_id)""",
     "scheduler_conservation": "SELECT user_id AS server, count(*) AS n, count(*) AS n_finished, 0::BIGINT AS leaked FROM events GROUP BY 1",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import stats as A
-from .tables import REQUESTS_SQL, part, requests, table
+from .tables import REQUESTS_SQL, requests, table
 
 _P = ["p50", "p95", "p99", "mean", "std", "min", "max"]
 
@@ -19,8 +19,8 @@ def latency_percentiles(spark, d):
     return _rounded(requests(spark, d).groupBy("cell").agg(*A.percentiles(F.col("service"))), ["cell"], _P)
 
 
-def single_sample_percentiles(spark, d, whole=False):
-    return _rounded(part(requests(spark, d), "event_id < 3", whole).groupBy("event_id").agg(*A.percentiles(F.col("service"))), ["event_id"], _P)
+def single_sample_percentiles(spark, d):
+    return _rounded(requests(spark, d).groupBy("event_id").agg(*A.percentiles(F.col("service"))), ["event_id"], _P)
 
 
 def token_mix_summary(spark, d):
@@ -70,12 +70,12 @@ def extras_cross(spark, d):
     """The full grid of session and arm, less what was asked for."""
     r = requests(spark, d)
     grid = r.select("session").distinct().join(F.broadcast(r.select("cell").distinct()))
-    return grid.exceptAll(r.where("server < 40").select("session", "cell").distinct())
+    return grid.exceptAll(r.where("cell = 'view' OR session = 0").select("session", "cell").distinct())
 
 
 def labels_also_missing(spark, d):
     r = requests(spark, d)
-    return r.where("server < 20").select("cell").intersect(coverage_missing(spark, d).select("cell"))
+    return r.select("cell").intersect(coverage_missing(spark, d).select("cell"))
 
 
 def completed_manifest(spark, d):
@@ -187,7 +187,7 @@ def _index_sql(i: str) -> str:
 
 ORACLE_SQL = {
     "latency_percentiles": f"{_R} SELECT cell, {_PCT.format(v='service')} FROM r GROUP BY cell",
-    "single_sample_percentiles": f"{_R} SELECT event_id, {_PCT.format(v='service')} FROM r WHERE event_id < 3 GROUP BY event_id",
+    "single_sample_percentiles": f"{_R} SELECT event_id, {_PCT.format(v='service')} FROM r GROUP BY event_id",
     "token_mix_summary": "SELECT lang, quantile_cont(length(text)::DOUBLE, 0.5) AS median, round(avg(length(text)), 6) AS mean, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max, trunc(quantile_cont(length(text)::DOUBLE, 0.5))::INTEGER AS median_int FROM documents GROUP BY lang",
     "median_upper": f"{_R} SELECT cell, service AS median_upper FROM {_index_sql('n // 2')}",
     "index_percentiles": f"{_R} SELECT a.cell, a.service AS p10, b.service AS p90 FROM {_index_sql('n // 10')} a JOIN {_index_sql('9 * n // 10')} b USING (cell)",
@@ -196,8 +196,8 @@ ORACLE_SQL = {
     "coverage_missing": f"{_R}, {_MISSING} SELECT * FROM m",
     "coverage_elsewhere": f"{_R}, {_MISSING} SELECT server, cell FROM m WHERE EXISTS (SELECT 1 FROM r WHERE r.session = m.server % 5 AND r.cell = m.cell)",
     "sessions_by_coverage": f"{_R} SELECT session, count(DISTINCT cell) AS n_cells, count(DISTINCT server) AS n_servers FROM r GROUP BY session",
-    "extras_cross": f"{_R} SELECT session, cell FROM (SELECT DISTINCT session FROM r) CROSS JOIN (SELECT DISTINCT cell FROM r) EXCEPT SELECT session, cell FROM r WHERE server < 40",
-    "labels_also_missing": f"{_R}, {_MISSING} SELECT cell FROM r WHERE server < 20 INTERSECT SELECT cell FROM m",
+    "extras_cross": f"{_R} SELECT session, cell FROM (SELECT DISTINCT session FROM r) CROSS JOIN (SELECT DISTINCT cell FROM r) EXCEPT SELECT session, cell FROM r WHERE cell = 'view' OR session = 0",
+    "labels_also_missing": f"{_R}, {_MISSING} SELECT cell FROM r INTERSECT SELECT cell FROM m",
     "completed_manifest": f"{_R} SELECT server FROM r WHERE session = 0 OR session = 1 EXCEPT SELECT server FROM r WHERE prompt = 0",
     "comparable_fields": f"""{_R}, l AS (SELECT event_id, unnest(['cell', 'session', 'width', 'odd']) AS field, unnest([cell, session::VARCHAR, 'fp16', CASE WHEN event_id % 100 = 0 THEN NULL ELSE (event_id % 2)::VARCHAR END]) AS v FROM r),
 f AS (SELECT field, v AS w FROM l WHERE event_id = (SELECT min(event_id) FROM r))

@@ -20,10 +20,5 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("event_type").alias("cell"), F.col("user_id").alias("server"), (F.col("user_id") % 5).alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("service"), prompt.alias("prompt"))
 
 
-def part(df: DataFrame, condition: str, whole: bool) -> DataFrame:
-    """The rows of df that meet the condition, or all of them for the whole form of a query."""
-    return df if whole else df.where(condition)
-
-
 #: The same in DuckDB.
 REQUESTS_SQL = "SELECT event_id, event_type AS cell, user_id AS server, user_id % 5 AS session, epoch_us(ts) AS t, value AS service, (props ->> '$.k')::BIGINT * 64 AS prompt FROM events"

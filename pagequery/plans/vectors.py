@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from ..operators import vectors as V
 from ..operators.retrieval import dot
-from .tables import part, table
+from .tables import table
 
 
-def _cells(spark, d, whole=False):
-    return part(table(spark, d, "embeddings"), "vec_id < 200", whole).select(F.col("vec_id").alias("row"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("col", "v"))
+def _cells(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("col", "v"))
 
 
-def _groupwise(spark, d, bits, group, whole=False):
-    return V.quantized(_cells(spark, d, whole), bits, group, 64)
+def _groupwise(spark, d, bits, group):
+    return V.quantized(_cells(spark, d), bits, group, 64)
 
 
-def int4_groupwise(spark, d, whole=False):
-    return _groupwise(spark, d, 4, 16, whole).select("row", "col", F.round("scale", 9).alias("scale"), "code")
+def int4_groupwise(spark, d):
+    return _groupwise(spark, d, 4, 16).select("row", "col", F.round("scale", 9).alias("scale"), "code")
 
 
-def int8_groupwise(spark, d, whole=False):
-    return _groupwise(spark, d, 8, 32, whole).select("row", "col", F.round("scale", 9).alias("scale"), "code")
+def int8_groupwise(spark, d):
+    return _groupwise(spark, d, 8, 32).select("row", "col", F.round("scale", 9).alias("scale"), "code")
 
 
 def int4_array_form(spark, d):
@@ -34,37 +34,37 @@ def int4_array_form(spark, d):
     return out.select("vec_id", F.aggregate("c", F.lit(0), lambda a, x: a + x).alias("sum_code"), F.aggregate("c", F.lit(0), lambda a, x: a + F.abs(x)).alias("sum_abs"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 9).alias("sum_scale"))
 
 
-def dequantized(spark, d, whole=False):
-    q = _groupwise(spark, d, 4, 16, whole)
+def dequantized(spark, d):
+    q = _groupwise(spark, d, 4, 16)
     return q.select("row", "col", F.round(V.dequantized(F.col("code"), F.col("scale")), 9).alias("w"))
 
 
-def quant_error(spark, d, whole=False):
+def quant_error(spark, d):
     out = None
     for bits, group in ((4, 16), (4, 64), (8, 16)):
-        q = _groupwise(spark, d, bits, group, whole).select("row", "v", V.dequantized(F.col("code"), F.col("scale")).alias("w"))
+        q = _groupwise(spark, d, bits, group).select("row", "v", V.dequantized(F.col("code"), F.col("scale")).alias("w"))
         m = V.error_metrics(q)
         one = m.select(F.lit(bits).alias("bits"), F.lit(group).alias("group_size"), *[F.round(c, 6).alias(c) for c in m.columns])
         out = one if out is None else out.unionAll(one)
     return out
 
 
-def pack_roundtrip(spark, d, whole=False):
-    q = _groupwise(spark, d, 4, 16, whole).select("row", F.floor(F.col("col") / 2).cast("int").alias("pair"), (F.col("col") % 2).alias("half"), "code")
+def pack_roundtrip(spark, d):
+    q = _groupwise(spark, d, 4, 16).select("row", F.floor(F.col("col") / 2).cast("int").alias("pair"), (F.col("col") % 2).alias("half"), "code")
     pairs = q.groupBy("row", "pair").agg(F.max(F.when(F.col("half") == 0, F.col("code"))).alias("low"), F.max(F.when(F.col("half") == 1, F.col("code"))).alias("high"))
     b = pairs.withColumn("byte", V.packed(F.col("low"), F.col("high")))
     ok = (V.unpacked_low(F.col("byte")) == F.col("low")) & (V.unpacked_high(F.col("byte")) == F.col("high"))
     return b.select("row", "pair", "byte", ok.alias("lossless"))
 
 
-def _layers(spark, d, whole=False):
-    li = part(table(spark, d, "lineitem"), "l_linenumber < 3 AND l_orderkey < 400", whole)
+def _layers(spark, d):
+    li = table(spark, d, "lineitem")
     name = F.concat("l_returnflag", F.lit("."), "l_linestatus", F.lit("."), F.col("l_orderkey").cast("string"))
     return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", name.alias("name"), (F.col("l_suppkey") % 7 + 1).alias("rows"), (F.col("l_partkey") % 9 * 16 + 16).alias("cols"), (F.col("l_linenumber") == 1).alias("bias"))
 
 
-def quant_plan(spark, d, whole=False):
-    p = V.plan(_layers(spark, d, whole), ["r.f", "HEAD"], 64)
+def quant_plan(spark, d):
+    p = V.plan(_layers(spark, d), ["r.f", "HEAD"], 64)
     return p.groupBy("reason").agg(F.count("*").alias("n"), F.sum("dense_bytes").alias("dense"), F.sum("planned_bytes").alias("planned"), F.round(F.try_divide(8 * F.sum("planned_bytes"), F.sum(F.col("rows") * F.col("cols"))), 6).alias("bits_per_weight"))
 
 
@@ -91,11 +91,11 @@ def ledger_grouping_sets(spark, d):
     return li.rollup("l_linestatus", "l_returnflag").agg(F.grouping_id().cast("long").alias("gid"), F.sum(F.col("l_quantity").cast("long")).alias("total"))
 
 
-# attention: queries are the first three vectors, keys and values all below 200, scale 1/8
+# attention: queries are the first three vectors, keys and values all vectors, scale 1/8
 
 
-def _scores(spark, d, causal=False, whole=False):
-    e = part(table(spark, d, "embeddings"), "vec_id < 200", whole).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+def _scores(spark, d, causal=False):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     ids = "vec_id IN (3, 50, 199)" if causal else "vec_id < 3"
     q = e.where(ids).select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
     on = F.col("vec_id") <= F.col("q") if causal else F.lit(True)
@@ -106,21 +106,21 @@ def _nine(df):
     return df.select("q", "dim", F.round("out", 9).alias("out"))
 
 
-def softmax_attention(spark, d, whole=False):
-    return _nine(V.attention(_scores(spark, d, whole=whole), ["q"]))
+def softmax_attention(spark, d):
+    return _nine(V.attention(_scores(spark, d), ["q"]))
 
 
-def blockwise_attention(spark, d, whole=False):
-    return _nine(V.blockwise_attention(_scores(spark, d, whole=whole).withColumn("block", F.floor(F.col("k") / 16)), ["q"], "block"))
+def blockwise_attention(spark, d):
+    return _nine(V.blockwise_attention(_scores(spark, d).withColumn("block", F.floor(F.col("k") / 16)), ["q"], "block"))
 
 
 def causal_attention(spark, d):
     return _nine(V.attention(_scores(spark, d, True), ["q"]))
 
 
-def padded_gather(spark, d, whole=False):
+def padded_gather(spark, d):
     """Sequences of one length: what a shorter one lacks is padded on the right with zeros."""
-    e = part(table(spark, d, "embeddings"), "vec_id < 120", whole).withColumn("seq", F.col("label"))
+    e = table(spark, d, "embeddings").withColumn("seq", F.col("label"))
     w = Window.partitionBy("seq").orderBy("vec_id")
     own = e.withColumn("pos", F.row_number().over(w) - 1).select("seq", "pos", F.element_at("embedding", 1).cast("double").alias("v"))
     top = own.agg(F.max("pos").alias("top"))
@@ -128,54 +128,54 @@ def padded_gather(spark, d, whole=False):
     return frame.join(own, ["seq", "pos"], "left").select("seq", "pos", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("v"), F.col("v").isNull().alias("padded"))
 
 
-def rmsnorm(spark, d, whole=False):
-    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole)
+def rmsnorm(spark, d):
+    e = table(spark, d, "embeddings")
     return e.select("vec_id", F.posexplode(V.rms_norm(F.col("embedding"))).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
-def rope(spark, d, whole=False):
-    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+def rope(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return e.select("vec_id", F.posexplode(V.rotary(F.col("v"), F.col("vec_id"), 64)).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
-def repeat_kv(spark, d, whole=False):
+def repeat_kv(spark, d):
     """The first four numbers of a vector as heads, each doubled."""
-    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole)
+    e = table(spark, d, "embeddings")
     heads = V.repeated_heads(F.slice("embedding", 1, 4), 2)
     return e.select("vec_id", F.posexplode(heads).alias("head", "x")).select("vec_id", "head", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
-def swiglu(spark, d, whole=False):
+def swiglu(spark, d):
     """silu(gate) * up, the gate being a vector's first half and up its second."""
-    e = part(table(spark, d, "embeddings"), "vec_id < 100", whole).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     out = F.zip_with(F.slice("v", 1, 32), F.slice("v", 33, 32), lambda g, u: g / (1 + F.exp(-g)) * u)
     return e.select("vec_id", F.posexplode(out).alias("dim", "x")).select("vec_id", "dim", F.round("x", 9).alias("x"))
 
 
-def linear_layer(spark, d, whole=False):
-    """A matrix product as a join on the inner index: rows below 40 by columns, rows 40 to 47 as weights; the largest is the greedy token."""
-    c = _cells(spark, d, whole)
-    x, w = part(c, "row < 40", whole), c.where("row >= 40 AND row < 48").select(F.col("row").alias("token"), "col", F.col("v").alias("w"))
+def linear_layer(spark, d):
+    """A matrix product as a join on the inner index: all rows by columns, rows 40 to 47 as weights; the largest is the greedy token."""
+    c = _cells(spark, d)
+    x, w = c, c.where("row >= 40 AND row < 48").select(F.col("row").alias("token"), "col", F.col("v").alias("w"))
     out = x.join(F.broadcast(w), "col").groupBy("row", "token").agg(F.sum(F.col("v") * F.col("w")).alias("logit"))
     best = out.groupBy("row").agg(F.max_by("token", F.struct(F.round("logit", 9), -F.col("token"))).alias("greedy"), F.round(F.max("logit"), 6).alias("logit"))
     return best
 
 
-def _weights(spark, d, whole=False):
+def _weights(spark, d):
     """Softmaxed causal attention of sequences of eight vectors, two heads (halves of the vector)."""
-    e = part(table(spark, d, "embeddings"), "vec_id < 160", whole).select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.col("vec_id") % 8).alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.col("vec_id") % 8).alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     h = e.select("seq", "i", F.posexplode(F.array(F.slice("v", 1, 32), F.slice("v", 33, 32))).alias("head", "v"))
     q, k = h.select("seq", "head", F.col("i").alias("q"), F.col("v").alias("a")), h.select("seq", "head", F.col("i").alias("k"), F.col("v").alias("b"))
     s = q.join(k, ["seq", "head"]).where("k <= q").withColumn("e", F.exp(dot(F.col("a"), F.col("b"))))
     return s.select("seq", "head", "q", "k", (F.col("e") / F.sum("e").over(Window.partitionBy("seq", "head", "q"))).alias("w"))
 
 
-def attention_received(spark, d, whole=False):
-    return V.received(_weights(spark, d, whole)).select("seq", "k", F.round("received", 9).alias("received"))
+def attention_received(spark, d):
+    return V.received(_weights(spark, d)).select("seq", "k", F.round("received", 9).alias("received"))
 
 
-def attention_received_last(spark, d, whole=False):
-    return V.received_last(_weights(spark, d, whole)).select("seq", "k", F.round("received", 9).alias("received"))
+def attention_received_last(spark, d):
+    return V.received_last(_weights(spark, d)).select("seq", "k", F.round("received", 9).alias("received"))
 
 
 def _tokens(spark, d):
@@ -214,11 +214,11 @@ QUERIES = {
 }
 
 
-def _cells_sql(where: str = "vec_id < 200") -> str:
-    return f"x AS (SELECT vec_id AS \"row\", unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INTEGER AS col FROM embeddings WHERE {where})"
+def _cells_sql() -> str:
+    return f"x AS (SELECT vec_id AS \"row\", unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INTEGER AS col FROM embeddings)"
 
 
-def _q_sql(bits: int, group: int, name: str = "q", where: str = "vec_id < 200") -> str:
+def _q_sql(bits: int, group: int, name: str = "q") -> str:
     top = {4: 7, 8: 127}[bits]
     return f"""{name}s AS (SELECT *, max(abs(v)) OVER (PARTITION BY "row", col // {group}) AS t FROM x), {name}c AS (SELECT *, CASE WHEN t > 0 THEN t / {top} ELSE 1.0 END AS scale FROM {name}s),
 {name} AS (SELECT "row", col, v, scale, greatest(least(round_even(v / scale, 0), {top}), -{top})::INTEGER AS code FROM {name}c)"""
@@ -233,16 +233,16 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2
 
 
 def _att_sql(ids: str, on: str) -> str:
-    return f"""WITH e AS (SELECT * FROM embeddings WHERE vec_id < 200), s AS (SELECT q.vec_id AS q, k.vec_id AS k, {_DOT.format("q.embedding", "k.embedding")} / 8 AS s, k.embedding AS v FROM e k JOIN e q ON {on} WHERE q.{ids}),
+    return f"""WITH e AS (SELECT * FROM embeddings), s AS (SELECT q.vec_id AS q, k.vec_id AS k, {_DOT.format("q.embedding", "k.embedding")} / 8 AS s, k.embedding AS v FROM e k JOIN e q ON {on} WHERE q.{ids}),
 w AS (SELECT q, exp(s - max(s) OVER (PARTITION BY q)) AS e, v FROM s), p AS (SELECT q, e / sum(e) OVER (PARTITION BY q) AS p, v FROM w),
 u AS (SELECT q, p, unnest(v)::DOUBLE AS x, unnest(range(64))::INTEGER AS dim FROM p) SELECT q, dim, round(sum(p * x), 9) AS out FROM u GROUP BY ALL"""
 
 
-_LAYERS = """l AS (SELECT l_returnflag || '.' || l_linestatus || '.' || l_orderkey AS name, l_suppkey % 7 + 1 AS r, l_partkey % 9 * 16 + 16 AS c, l_linenumber = 1 AS bias FROM lineitem WHERE l_linenumber < 3 AND l_orderkey < 400),
+_LAYERS = """l AS (SELECT l_returnflag || '.' || l_linestatus || '.' || l_orderkey AS name, l_suppkey % 7 + 1 AS r, l_partkey % 9 * 16 + 16 AS c, l_linenumber = 1 AS bias FROM lineitem),
 p AS (SELECT *, 2 * r * c + CASE WHEN bias THEN 2 * r ELSE 0 END AS dense, CASE WHEN contains(lower(name), 'r.f') OR contains(lower(name), 'head') THEN 'skip-list' WHEN c % 64 <> 0 THEN 'ragged-groups' ELSE 'eligible' END AS reason FROM l),
 f AS (SELECT *, CASE WHEN reason = 'eligible' THEN (r * c + 1) // 2 + 2 * r * (c // 64) + CASE WHEN bias THEN 2 * r ELSE 0 END ELSE dense END AS planned FROM p)"""
 _TOK = "t AS (SELECT vec_id // 50 AS seq, vec_id AS pos, label <> 0 AS visual, embedding[1]::DOUBLE AS score FROM embeddings)"
-_WEIGHTS = f"""h AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS i, head, CASE WHEN head = 0 THEN embedding[1:32] ELSE embedding[33:64] END AS v FROM embeddings CROSS JOIN (SELECT unnest([0, 1]) AS head) WHERE vec_id < 160),
+_WEIGHTS = f"""h AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS i, head, CASE WHEN head = 0 THEN embedding[1:32] ELSE embedding[33:64] END AS v FROM embeddings CROSS JOIN (SELECT unnest([0, 1]) AS head)),
 s AS (SELECT a.seq, a.head, a.i AS q, b.i AS k, exp({_DOT.format("a.v", "b.v")}) AS e FROM h a JOIN h b ON a.seq = b.seq AND a.head = b.head AND b.i <= a.i),
 w AS (SELECT seq, head, q, k, e / sum(e) OVER (PARTITION BY seq, head, q) AS w FROM s)"""
 _ROPE_X = "CASE WHEN dim < 32 THEN -v[dim + 33] ELSE v[dim - 31] END"
@@ -250,7 +250,7 @@ _ROPE_X = "CASE WHEN dim < 32 THEN -v[dim + 33] ELSE v[dim - 31] END"
 ORACLE_SQL = {
     "int4_groupwise": f'WITH {_cells_sql()}, {_q_sql(4, 16)} SELECT "row", col, round(scale, 9) AS scale, code FROM q',
     "int8_groupwise": f'WITH {_cells_sql()}, {_q_sql(8, 32)} SELECT "row", col, round(scale, 9) AS scale, code FROM q',
-    "int4_array_form": f'WITH {_cells_sql("true")}, {_q_sql(4, 16)}, g AS (SELECT "row", col // 16 AS g, max(scale) AS s FROM q GROUP BY ALL), t AS (SELECT "row", round(sum(s), 9) AS sum_scale FROM g GROUP BY "row") SELECT "row" AS vec_id, sum(code)::INTEGER AS sum_code, sum(abs(code))::INTEGER AS sum_abs, max(sum_scale) AS sum_scale FROM q JOIN t USING ("row") GROUP BY "row"',
+    "int4_array_form": f'WITH {_cells_sql()}, {_q_sql(4, 16)}, g AS (SELECT "row", col // 16 AS g, max(scale) AS s FROM q GROUP BY ALL), t AS (SELECT "row", round(sum(s), 9) AS sum_scale FROM g GROUP BY "row") SELECT "row" AS vec_id, sum(code)::INTEGER AS sum_code, sum(abs(code))::INTEGER AS sum_abs, max(sum_scale) AS sum_scale FROM q JOIN t USING ("row") GROUP BY "row"',
     "dequantized": f'WITH {_cells_sql()}, {_q_sql(4, 16)} SELECT "row", col, round(code * scale, 9) AS w FROM q',
     "quant_error": f"{_err_sql(4, 16)} UNION ALL {_err_sql(4, 64)} UNION ALL {_err_sql(8, 16)}",
     "pack_roundtrip": f'WITH {_cells_sql()}, {_q_sql(4, 16)} SELECT "row", (col // 2)::INTEGER AS pair, ((max(code) FILTER (WHERE col % 2 = 1) + 8) * 16 + max(code) FILTER (WHERE col % 2 = 0) + 8)::INTEGER AS byte, true AS lossless FROM q GROUP BY ALL',
@@ -263,13 +263,13 @@ SELECT *, round(total / (SELECT total FROM p WHERE l_linestatus = 'F'), 6) AS ra
     "softmax_attention": _att_sql("vec_id < 3", "true"),
     "blockwise_attention": _att_sql("vec_id < 3", "true"),
     "causal_attention": _att_sql("vec_id IN (3, 50, 199)", "k.vec_id <= q.vec_id"),
-    "padded_gather": """WITH o AS (SELECT label AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding[1]::DOUBLE AS v FROM embeddings WHERE vec_id < 120), f AS (SELECT seq, unnest(range(0, (SELECT max(pos) + 1 FROM o))) AS pos FROM (SELECT DISTINCT seq FROM o))
+    "padded_gather": """WITH o AS (SELECT label AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding[1]::DOUBLE AS v FROM embeddings), f AS (SELECT seq, unnest(range(0, (SELECT max(pos) + 1 FROM o))) AS pos FROM (SELECT DISTINCT seq FROM o))
 SELECT f.seq, f.pos::INTEGER AS pos, round(coalesce(v, 0), 6) AS v, v IS NULL AS padded FROM f LEFT JOIN o USING (seq, pos)""",
-    "rmsnorm": f"WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64))::INTEGER AS dim, {_DOT.format('embedding', 'embedding')} / 64 AS m FROM embeddings WHERE vec_id < 100) SELECT vec_id, dim, round(x / sqrt(m + 1e-6), 6) AS x FROM u",
-    "rope": f"WITH u AS (SELECT vec_id, embedding AS v, unnest(range(64))::INTEGER AS dim FROM embeddings WHERE vec_id < 100), a AS (SELECT *, vec_id / pow(10000.0, 2.0 * (dim % 32) / 64) AS t, v[dim + 1]::DOUBLE AS x, ({_ROPE_X})::DOUBLE AS y FROM u) SELECT vec_id, dim, round(x * cos(t) + y * sin(t), 6) AS x FROM a",
-    "repeat_kv": "WITH u AS (SELECT vec_id, embedding AS v, unnest(range(8))::INTEGER AS head FROM embeddings WHERE vec_id < 100) SELECT vec_id, head, round(v[head // 2 + 1]::DOUBLE, 6) AS x FROM u",
-    "swiglu": "WITH u AS (SELECT vec_id, embedding AS v, unnest(range(32))::INTEGER AS dim FROM embeddings WHERE vec_id < 100) SELECT vec_id, dim, round(v[dim + 1]::DOUBLE / (1 + exp(-(v[dim + 1]::DOUBLE))) * v[dim + 33]::DOUBLE, 9) AS x FROM u",
-    "linear_layer": f"""WITH m AS (SELECT x.vec_id AS "row", w.vec_id AS token, {_DOT.format("x.embedding", "w.embedding")} AS logit FROM embeddings x CROSS JOIN embeddings w WHERE x.vec_id < 40 AND w.vec_id >= 40 AND w.vec_id < 48)
+    "rmsnorm": f"WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64))::INTEGER AS dim, {_DOT.format('embedding', 'embedding')} / 64 AS m FROM embeddings) SELECT vec_id, dim, round(x / sqrt(m + 1e-6), 6) AS x FROM u",
+    "rope": f"WITH u AS (SELECT vec_id, embedding AS v, unnest(range(64))::INTEGER AS dim FROM embeddings), a AS (SELECT *, vec_id / pow(10000.0, 2.0 * (dim % 32) / 64) AS t, v[dim + 1]::DOUBLE AS x, ({_ROPE_X})::DOUBLE AS y FROM u) SELECT vec_id, dim, round(x * cos(t) + y * sin(t), 6) AS x FROM a",
+    "repeat_kv": "WITH u AS (SELECT vec_id, embedding AS v, unnest(range(8))::INTEGER AS head FROM embeddings) SELECT vec_id, head, round(v[head // 2 + 1]::DOUBLE, 6) AS x FROM u",
+    "swiglu": "WITH u AS (SELECT vec_id, embedding AS v, unnest(range(32))::INTEGER AS dim FROM embeddings) SELECT vec_id, dim, round(v[dim + 1]::DOUBLE / (1 + exp(-(v[dim + 1]::DOUBLE))) * v[dim + 33]::DOUBLE, 9) AS x FROM u",
+    "linear_layer": f"""WITH m AS (SELECT x.vec_id AS "row", w.vec_id AS token, {_DOT.format("x.embedding", "w.embedding")} AS logit FROM embeddings x CROSS JOIN embeddings w WHERE w.vec_id >= 40 AND w.vec_id < 48)
 SELECT "row", token AS greedy, round(logit, 6) AS logit FROM m QUALIFY row_number() OVER (PARTITION BY "row" ORDER BY round(logit, 9) DESC, token) = 1""",
     "attention_received": f"WITH {_WEIGHTS}, n AS (SELECT seq, max(q) + 1 AS nq, count(DISTINCT head) AS heads FROM w GROUP BY seq) SELECT seq, k, round(sum(w) / ((max(nq) - k) * max(heads)), 9) AS received FROM w JOIN n USING (seq) GROUP BY seq, k",
     "attention_received_last": f"WITH {_WEIGHTS} SELECT seq, k, round(avg(w), 9) AS received FROM w WHERE q = (SELECT max(q) FROM w v WHERE v.seq = w.seq) GROUP BY seq, k",

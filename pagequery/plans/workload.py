@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import workload as W
 from ..sources import ocr
 from .retrieval import _gold
-from .tables import part, table
+from .tables import table
 
 
 def _corpus(spark, d):
@@ -71,39 +71,39 @@ def heldout_prefix(spark, d):
     return heldout_split(spark, d).where("split = 'heldout'").orderBy("doc_id").limit(25).select("doc_id")
 
 
-def _trace(spark, d, whole=False):
-    keys = part(table(spark, d, "documents"), "doc_id < 200", whole).select(F.col("doc_id").alias("doc_key"))
-    return W.sampled_trace(_gold(spark, d, whole), keys, 5), keys
+def _trace(spark, d):
+    keys = table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"))
+    return W.sampled_trace(_gold(spark, d), keys, 5), keys
 
 
-def frozen_trace(spark, d, whole=False):
-    trace, _ = _trace(spark, d, whole)
+def frozen_trace(spark, d):
+    trace, _ = _trace(spark, d)
     return trace.select("query_id", "gold_doc_key", F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ",").alias("retrieved"))
 
 
 def trace_drop_missing(spark, d):
     queries = _gold(spark, d)
-    keys = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("gold_doc_key"))
+    keys = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("gold_doc_key"))
     return queries.join(keys, "gold_doc_key", "left_anti").select("query_id", "gold_doc_key")
 
 
-def canonical_order(spark, d, whole=False):
+def canonical_order(spark, d):
     """A trace's documents sorted by key, beside their order of relevance."""
-    trace, _ = _trace(spark, d, whole)
+    trace, _ = _trace(spark, d)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return trace.select("query_id", text(F.col("retrieved")).alias("relevance"), text(F.array_sort("retrieved")).alias("canonical"))
 
 
-def prompt_text(spark, d, whole=False):
-    trace, _ = _trace(spark, d, whole)
+def prompt_text(spark, d):
+    trace, _ = _trace(spark, d)
     corpus = _corpus(spark, d).select(F.col("doc_id").alias("doc_key"), "text")
     got = W.resolved(trace, corpus).join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     text = S.prompt(F.col("question"), F.col("texts"))
     return got.select("query_id", F.size("keys").alias("n_docs"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("sha"))
 
 
-def prompt_part_counts(spark, d, whole=False):
-    trace, _ = _trace(spark, d, whole)
+def prompt_part_counts(spark, d):
+    trace, _ = _trace(spark, d)
     corpus = _corpus(spark, d).select(F.col("doc_id").alias("doc_key"), "text")
     got = W.resolved(trace, corpus).join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     part = F.explode(S.prompt_parts(F.col("question"), F.col("keys"), F.col("texts"))).alias("p")
@@ -176,27 +176,27 @@ def request_rejects(spark, d):
     return c.select("conv_id", "turn", F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 
-def _beginning(whole):
-    return S.ascii_folded(F.col("text") if whole else F.substring("text", 1, 40))
+def _printable():
+    return S.ascii_folded(F.col("text"))
 
 
-def levenshtein_pairs(spark, d, whole=False):
-    c = table(spark, d, "conversations").select("conv_id", "turn", _beginning(whole).alias("t"))
+def levenshtein_pairs(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", _printable().alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("t", "u").cast("long").alias("distance"))
 
 
-def anls_scores(spark, d, whole=False):
-    """Each turn's beginning against two answers: that of the next turn, and its own beyond its first character."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", _beginning(whole).alias("t"))
+def anls_scores(spark, d):
+    """Each turn against two answers: the next turn, and itself from a character on that follows from its number."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", _printable().alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
     both = c.join(nxt, ["conv_id", "turn"], "left")
-    golds = F.filter(F.array(F.col("u"), F.substring("t", F.lit(1) + (F.col("turn") * 7 % 30).cast("int"), F.length("t") if whole else F.lit(40))), lambda x: x.isNotNull())
+    golds = F.filter(F.array(F.col("u"), F.substring("t", F.lit(1) + (F.col("turn") * 7 % 30).cast("int"), F.length("t"))), lambda x: x.isNotNull())
     return both.select("conv_id", "turn", "role", F.round(S.anls(F.col("t"), golds), 6).alias("anls"))
 
 
-def anls_by_group(spark, d, whole=False):
-    return anls_scores(spark, d, whole).groupBy("role").agg(F.round(F.avg("anls"), 5).alias("mean_anls"), F.count("*").alias("n"))
+def anls_by_group(spark, d):
+    return anls_scores(spark, d).groupBy("role").agg(F.round(F.avg("anls"), 5).alias("mean_anls"), F.count("*").alias("n"))
 
 
 # pages
@@ -214,9 +214,9 @@ def slugs(spark, d):
     return table(spark, d, "pages").select("page_id", S.slug(F.col("url")).alias("slug"))
 
 
-def ocr_lines(spark, d, whole=False):
+def ocr_lines(spark, d):
     """A plain JSON container of each document's lines, read back in the JVM."""
-    docs = part(table(spark, d, "documents"), "doc_id % 5 = 0", whole)
+    docs = table(spark, d, "documents")
     block = F.struct(F.lit("LINE").alias("BlockType"), F.col("text").alias("Text"))
     word = F.struct(F.lit("WORD").alias("BlockType"), F.lit("w").alias("Text"))
     payload = F.to_json(F.struct(F.array(block, word).alias("Blocks")))
@@ -229,14 +229,14 @@ QUERIES = {
 }
 
 _CORPUS = "c AS (SELECT doc_id, source, source || ':' || doc_id || ':0' AS doc_key, CASE WHEN doc_id % 10 < 3 THEN '' ELSE text END AS text FROM documents)"
-_GOLD = "g AS (SELECT item_id AS query_id, min(doc_id) AS gold_doc_key FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 60)) GROUP BY 1)"
+_GOLD = "g AS (SELECT item_id AS query_id, min(doc_id) AS gold_doc_key FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)"
 _SPLIT = "h AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('1234:' || doc_id), doc_id) <= floor(count(*) OVER () * 0.25) THEN 'heldout' ELSE 'eval' END AS split FROM documents)"
-_TRACE = f"""{_GOLD}, kn AS (SELECT * FROM g WHERE gold_doc_key < 200),
-dr AS (SELECT query_id, gold_doc_key, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('1234:' || query_id || ':' || doc_id), doc_id) AS rn FROM kn JOIN (SELECT doc_id FROM documents WHERE doc_id < 200) ON doc_id <> gold_doc_key),
+_TRACE = f"""{_GOLD}, kn AS (SELECT * FROM g),
+dr AS (SELECT query_id, gold_doc_key, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('1234:' || query_id || ':' || doc_id), doc_id) AS rn FROM kn JOIN (SELECT doc_id FROM documents) ON doc_id <> gold_doc_key),
 tr AS (SELECT query_id, gold_doc_key AS doc_id, 0 AS rn FROM kn UNION ALL SELECT query_id, doc_id, rn FROM dr WHERE rn <= 4)"""
-_PAIR = "t AS (SELECT conv_id, turn, role, regexp_replace(substring(text, 1, 40), '[^ -~]', '?', 'g') AS t FROM conversations)"
+_PAIR = "t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '?', 'g') AS t FROM conversations)"
 _SIM = "CASE WHEN greatest(length(lower(trim({0}))), length(lower(trim({1})))) = 0 THEN 1.0 ELSE 1.0 - levenshtein(lower(trim({0})), lower(trim({1}))) / greatest(length(lower(trim({0}))), length(lower(trim({1}))))::DOUBLE END"
-_ANLS = f"""{_PAIR}, p AS (SELECT a.*, b.t AS u, substring(a.t, 1 + (a.turn * 7 % 30)::INTEGER, 40) AS v FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
+_ANLS = f"""{_PAIR}, p AS (SELECT a.*, b.t AS u, substring(a.t, 1 + (a.turn * 7 % 30)::INTEGER) AS v FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
 s AS (SELECT conv_id, turn, role, greatest(coalesce({_SIM.format("t", "u")}, 0), {_SIM.format("t", "v")}) AS x FROM p), an AS (SELECT conv_id, turn, role, round(CASE WHEN x >= 0.5 THEN x ELSE 0 END, 6) AS anls FROM s)"""
 _N = "len(string_split(text, ' '))"
 _LINES = "list_filter(string_split(regexp_replace(regexp_replace(html, '<script>[^<]*</script>|<style>[^<]*</style>', '', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: length(x) > 0)"
@@ -252,7 +252,7 @@ ORACLE_SQL = {
     "heldout_split": f"WITH {_SPLIT} SELECT doc_id, split FROM h",
     "heldout_prefix": f"WITH {_SPLIT} SELECT doc_id FROM h WHERE split = 'heldout' ORDER BY doc_id LIMIT 25",
     "frozen_trace": f"WITH {_TRACE} SELECT query_id, first(doc_id ORDER BY rn) AS gold_doc_key, string_agg(doc_id::VARCHAR, ',' ORDER BY rn) AS retrieved FROM tr GROUP BY query_id",
-    "trace_drop_missing": f"WITH {_GOLD} SELECT query_id, gold_doc_key FROM g WHERE gold_doc_key >= 200",
+    "trace_drop_missing": f"WITH {_GOLD} SELECT query_id, gold_doc_key FROM g WHERE gold_doc_key NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "canonical_order": f"WITH {_TRACE} SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rn) AS relevance, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS canonical FROM tr GROUP BY query_id",
     "prompt_text": f"""WITH {_TRACE}, {_CORPUS}, x AS (SELECT query_id, rn, row_number() OVER (PARTITION BY query_id ORDER BY rn) AS i, c.text FROM tr JOIN c USING (doc_id)),
 y AS (SELECT query_id, count(*)::INTEGER AS n_docs, string_agg('Document ' || i || ':' || CASE WHEN text <> '' THEN chr(10) || substring(text, 1, 1500) ELSE '' END, chr(10) ORDER BY i) AS p FROM x GROUP BY query_id),
@@ -276,5 +276,5 @@ q AS (SELECT g, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM r GROUP BY g
     "anls_by_group": f"WITH {_ANLS} SELECT role, round(avg(anls), 5) AS mean_anls, count(*) AS n FROM an GROUP BY role",
     "page_lines": f"SELECT page_id, len({_LINES}) AS n_lines, md5(array_to_string({_LINES}, chr(10))) AS md5 FROM pages",
     "slugs": "SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g') AS slug FROM pages",
-    "ocr_lines": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE doc_id % 5 = 0",
+    "ocr_lines": "SELECT doc_id, md5(text) AS md5 FROM documents",
 }
