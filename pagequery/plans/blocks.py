@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blocks as B
+from ..operators.retrieval import spread
 from .tables import REQUESTS_SQL, requests, table
 
 #: Bytes of keys and values of a token in the larger model; sizes of a sweep.
@@ -43,7 +44,7 @@ def padding_waste(spark, d):
 
 
 def _blocks(spark, d):
-    return table(spark, d, "documents").select("doc_id", B.full_blocks(F.split("text", " "), 4).alias("blocks"))
+    return spread(table(spark, d, "documents")).select("doc_id", B.full_blocks(F.split("text", " "), 4).alias("blocks"))
 
 
 def chain_hash(spark, d):

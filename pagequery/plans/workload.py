@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import workload as W
+from ..operators.retrieval import spread
 from ..sources import ocr
 from .retrieval import _gold
 from .tables import table
@@ -181,14 +182,14 @@ def _printable():
 
 
 def levenshtein_pairs(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", _printable().alias("t"))
+    c = spread(table(spark, d, "conversations")).select("conv_id", "turn", _printable().alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("t", "u").cast("long").alias("distance"))
 
 
 def anls_scores(spark, d):
     """Each turn against two answers: the next turn, and itself from a character on that follows from its number."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", _printable().alias("t"))
+    c = spread(table(spark, d, "conversations")).select("conv_id", "turn", "role", _printable().alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
     both = c.join(nxt, ["conv_id", "turn"], "left")
     golds = F.filter(F.array(F.col("u"), F.substring("t", F.lit(1) + (F.col("turn") * 7 % 30).cast("int"), F.length("t"))), lambda x: x.isNotNull())
