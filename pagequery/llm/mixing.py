@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a splitting tree over blocks of documents.
 
-Each source's documents are dealt into blocks by a hash, and each block is a bounded unit of the mix. A source gives
-all its blocks as often as its target holds its whole size, and the first blocks of its permutation for the rest, whose last one is
-taken in part. Output shards get their numbers of blocks of each source by halving: the blocks of a node are split
-between its two halves by a multivariate hypergeometric draw, so that the quotas of the sources stay exact and no shard
-depends on another; a shard's blocks are then disjoint ranges of each source's permutation, shuffled locally.
+Each source's documents are dealt into blocks by a hash. A source draws all its blocks as often as its target holds its whole
+size, each time in a permutation of its own, and the first blocks of one more permutation for the rest, whose last one is
+taken in part. Output shards get their numbers of each source's blocks by halving: the blocks of a node are split
+between its two halves by a multivariate hypergeometric draw, so that the quotas of the sources stay exact. A shard's blocks are
+then disjoint ranges of each source's permuted draws, and its documents stand in an order of the shard's own. What is taken of a
+document is what the shards have of it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from .common import cut
 
 #: Weights of the sources in order of their names, repeating; no document is taken more often than this.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
-#: Documents that a block has on average, up to this many blocks of a source.
-BLOCK_DOCS, MAX_BLOCKS = 256, 4096
+#: Documents that a block has on average, up to this many blocks of a source; larger sources have larger blocks.
+BLOCK_DOCS, MAX_BLOCKS = 256, 1 << 16
+#: Documents among which the last words of a source are sought.
+LAST = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,52 +64,55 @@ def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return out
 
 
-def plan(blocks: list[tuple[str | None, int, int]], shards: int, seed: int = 11) -> tuple[dict, list[tuple], list[tuple]]:
-    """From (source, block, size) of all blocks: what each source gets, where blocks go, and the blocks taken in part.
+def draws(blocks: list[tuple[int, int]], target: float, rng: np.random.Generator) -> list[tuple[int, int, int | None]]:
+    """(block, copy, words) in the order drawn, from (block, size) of a source's blocks; words is null for a whole block, else about so many are taken of it."""
+    size = sum(s for _, s in blocks)
+    order = sorted(blocks)
+    copies = int(target // size) if size else 0
+    out: list[tuple[int, int, int | None]] = [(order[i][0], copy, None) for copy in range(copies) for i in rng.permutation(len(order))]
+    left = round(target - copies * size)
+    for i in rng.permutation(len(order)):
+        if left <= 0:
+            break
+        block, words = order[i]
+        out.append((block, copies, None if words <= left else left))
+        left -= words
+    return out
+
 
-    Returns {source: (size, target)}, [(source, block, copy, shard)] for whole blocks, and [(source, block, copy, shard,
-    words)] for those of which about so many words are still missing.
+def fill(sizes: np.ndarray, words: int) -> np.ndarray:
+    """Which documents, in this order, give about `words` words and no more.
+
+    They are taken as they fit; then the last ones taken and the first ones left out are chosen again, LAST of them, so that their sum is the largest that fits.
     """
-    of: dict[str | None, list[tuple[int, int]]] = {}
-    for source, block, size in blocks:
-        of.setdefault(source, []).append((block, size))
-    names = sorted(of, key=lambda s: (s is None, s or ""))
-    sizes = [sum(size for _, size in of[s]) for s in names]
-    goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
-    whole: list[list[tuple[int, int]]] = []
-    partial: list[tuple] = []
-    rng = np.random.default_rng(seed)
-    for s, size, target in zip(names, sizes, goal, strict=True):
-        order = sorted(of[s])
-        drawn, copies = [], int(target // size) if size else 0
-        for copy in range(copies):
-            drawn += [(order[i][0], copy) for i in rng.permutation(len(order))]
-        left = round(target - copies * size)
-        for i in rng.permutation(len(order)):
-            block, words = order[i]
-            if left <= 0:
-                break
-            if words <= left:
-                drawn.append((block, copies))
-            else:
-                partial.append((s, block, copies, len(drawn) % shards, left))
-            left -= words
-        whole.append(drawn)
-    share = split(np.array([len(d) for d in whole], np.int64), shards, rng) if names else np.zeros((shards, 0), np.int64)
-    placed = []
-    for k, s in enumerate(names):
-        begin = 0
-        for shard in range(shards):
-            placed += [(s, block, copy, shard) for block, copy in whole[k][begin : begin + share[shard, k]]]
-            begin += share[shard, k]
-    return {s: (size, target) for s, size, target in zip(names, sizes, goal, strict=True)}, placed, partial
+    taken, left = np.zeros(len(sizes), bool), words
+    for i, size in enumerate(sizes.tolist()):
+        if size <= left:
+            taken[i] = True
+            left -= size
+    some = np.concatenate([np.flatnonzero(taken)[-LAST // 2 :], np.flatnonzero(~taken)[: LAST // 2]])
+    left += int(sizes[some][taken[some]].sum())
+    reached = [np.arange(left + 1) == 0]
+    for size in sizes[some].tolist():
+        now = reached[-1].copy()
+        if 0 < size <= left:
+            now[size:] |= reached[-1][: left + 1 - size]
+        reached.append(now)
+    at = int(np.flatnonzero(reached[-1]).max())
+    for k in range(len(some) - 1, -1, -1):
+        use = not reached[k][at]
+        taken[some[k]] = use or sizes[some[k]] == 0
+        at -= int(sizes[some[k]]) if use else 0
+    return taken
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, rank): the words of each whole text, and the place of the document in its source's order."""
+    """(row, doc_id, k, source, size, rank): the words of each whole text, and the place of the document in its source's order."""
     text = F.col("text").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.lit("mix")).alias("rank"))
+    source = F.col("source").cast("string")
+    key = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), source.alias("source"), size.alias("size"), F.xxhash64(F.col("doc_id").cast("long"), source, F.lit("mix"), F.crc32(F.coalesce(text, F.lit("")))).alias("rank"))
 
 
 def _block(count: Column) -> Column:
@@ -118,60 +124,49 @@ def _block(count: Column) -> Column:
 def mix(docs: DataFrame, shards: int = 16, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(taken, copies) of the mix of docs (doc_id, source, text).
 
-    taken has a row for each row of docs: doc_id, source, size, source_size, target and taken, the words that the mix takes
-    of it, repeats counted. copies has a row for each time that a document is taken: doc_id, source, copy, shard and
-    position, its place in its shard. Null text has size 0; null is a source, ordered last; documents of size 0 go with their block; rows
+    copies has a row for each time that a document is taken: doc_id, source, copy, shard and position, its place in its shard.
+    taken has a row for each row of docs: doc_id, source, size, source_size, target, taken, the words that the shards have
+    of it, repeats counted, and shards, which those are. Null text has size 0; null is a source, ordered last; documents of size 0 go with their block; rows
     repeated are documents of their own; an empty table gives empty results. The seed and the table alone decide.
 
-    Of a source's last block, documents are taken in hashed order as they still fit, so a source misses its target by less than
-    its smallest remaining document. The driver holds only sums of blocks: at most MAX_BLOCKS for a source.
+    Of a source's last block, documents are taken in hashed order as they fit, and the last ones so that the target is met as nearly as some LAST of
+    them allow. The driver holds a few numbers for each source; blocks are drawn source by source in the tasks.
     """
     spark = docs.sparkSession
     rows = cut(sized(docs))
-    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
-    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
-    named = rows.join(F.broadcast(counts.select(key(F.col("source")).alias("k"), "n")) if counts.count() <= 10_000 else counts.select(key(F.col("source")).alias("k"), "n"), key(F.col("source")) == F.col("k"))
-    blocked = named.withColumn("block", _block(F.col("n"))).drop("n")
-    sums = blocked.groupBy("source", "block").agg(F.sum("size").alias("size")).collect()
-    goal, placed, partial = plan([tuple(r) for r in sums], shards, seed)
-    name = lambda s: "n" if s is None else "s" + s
-    schema = "k string, block int, copy int, shard int"
-    whole = spark.createDataFrame([(name(s), b, c, h) for s, b, c, h in placed], schema)
-    part = spark.createDataFrame([(name(s), b, c, h, left) for s, b, c, h, left in partial], schema + ", words long")
-    aims = spark.createDataFrame([(name(s), int(size), float(target)) for s, (size, target) in goal.items()], "k string, source_size long, target double")
-    small = len(placed) + len(partial) <= 200_000
+    sources = sorted(rows.groupBy("k").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r.k == "n", r.k))
+    small = len(sources) <= 10_000
     hint = F.broadcast if small else (lambda df: df)
-
-    def fill(pdf):
-        pdf = pdf.sort_values(["rank", "doc_id"], kind="stable")
-        left, fits = int(pdf["words"].iloc[0]), []
-        for size in pdf["size"]:
-            fits.append(size <= left)
-            left -= size if fits[-1] else 0
-        return pdf[fits][["doc_id", "source", "size", "rank", "k", "copy", "shard"]]
-
-    wide = "doc_id long, source string, size long, rank long, k string, copy int, shard int"
-    first = blocked.join(hint(whole), ["k", "block"]).select("doc_id", "source", "size", "rank", "k", "copy", "shard")
-    last = blocked.join(hint(part), ["k", "block"]).groupBy("k", "block").applyInPandas(fill, wide)
-    copies = first.unionByName(last)
-    # the times a row is taken: whole blocks by a count of their copies, rows of partial blocks once more
-    times = hint(whole.groupBy("k", "block").agg(F.count("*").alias("times")))
-    once = last.select(F.col("doc_id").alias("d"), F.col("k").alias("kk"), F.col("rank").alias("r")).groupBy("d", "kk", "r").agg(F.count("*").alias("more"))
-    edge = hint(part.select(F.col("k"), F.col("block"), F.lit(1).alias("edge")))
-    base = blocked.join(times, ["k", "block"], "left").join(edge, ["k", "block"], "left")
-    inner = base.where("edge IS NULL").withColumn("more", F.lit(0).cast("long"))
-    outer = base.where("edge IS NOT NULL")
-    outer = outer.join(once, outer["doc_id"].eqNullSafe(once["d"]) & (outer["k"] == once["kk"]) & (outer["rank"] == once["r"]), "left").drop("d", "kk", "r")
-    # rows repeated with one doc_id and source share a rank: each is taken as often as they were on average, whole times
-    again = F.row_number().over(_window())
-    outer = outer.withColumn("more", F.when(again <= F.coalesce("more", F.lit(0)), 1).otherwise(0).cast("long"))
-    taken = inner.unionByName(outer).withColumn("taken", F.col("size") * (F.coalesce("times", F.lit(0)) + F.col("more")))
-    taken = taken.join(F.broadcast(aims) if len(goal) <= 10_000 else aims, "k").select("doc_id", "source", "size", "source_size", "target", "taken")
-    place = F.xxhash64("rank", "copy", F.lit(seed))
-    return taken, copies.select("doc_id", "source", "copy", "shard", place.alias("position"))
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("k", "rank").orderBy("size")
+    goal = targets([r["size"] for r in sources], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))])
+    aims = spark.createDataFrame([(r.k, int(r["size"]), float(t), r["n"]) for r, t in zip(sources, goal, strict=True)], "k string, source_size long, target double, n long")
+    blocked = rows.join(hint(aims), "k").withColumn("block", _block(F.col("n"))).drop("n")
+    sums = blocked.groupBy("k", "block").agg(F.sum("size").alias("words"), F.max("target").alias("target"))
+
+    def draw(pdf):
+        import zlib
+
+        import pandas as pd
+
+        k = pdf["k"].iloc[0]
+        found = draws([(int(b), int(w)) for b, w in zip(pdf["block"], pdf["words"], strict=True)], float(pdf["target"].iloc[0]), np.random.default_rng([seed, zlib.crc32(k.encode())]))
+        return pd.DataFrame([(k, i, b, c, w) for i, (b, c, w) in enumerate(found)], columns=["k", "i", "block", "copy", "words"]).astype({"words": "Int64"})
+
+    drawn = cut(sums.groupBy("k").applyInPandas(draw, "k string, i long, block int, copy int, words long"))
+    counts = {r.k: r["n"] for r in drawn.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    share = split(np.array([counts.get(r.k, 0) for r in sources], np.int64), shards, np.random.default_rng(seed)) if sources else np.zeros((shards, 0), np.int64)
+    ends = spark.createDataFrame([(r.k, share[:, j].cumsum().tolist()) for j, r in enumerate(sources)], "k string, ends array<long>")
+    placed = cut(drawn.join(hint(ends), "k").select("k", "block", "words", F.struct("copy", F.size(F.filter("ends", lambda e: e <= F.col("i"))).alias("shard")).alias("draw")))
+    whole = placed.where("words IS NULL").groupBy("k", "block").agg(F.array_sort(F.collect_list("draw")).alias("draws"))
+    part = placed.where("words IS NOT NULL").select("k", "block", "words", "draw")
+
+    def filled(pdf):
+        pdf = pdf.sort_values(["rank", "doc_id", "size", "row"], kind="stable")
+        return pdf[fill(pdf["size"].to_numpy(), int(pdf["words"].iloc[0]))][["row", "copy", "shard"]]
+
+    last = blocked.join(part, ["k", "block"]).select("k", "block", "row", "doc_id", "rank", "size", "words", "draw.*").groupBy("k", "block").applyInPandas(filled, "row long, copy int, shard int")
+    more = last.select("row", F.array(F.struct("copy", "shard")).alias("more"))
+    none = F.array().cast("array<struct<copy: int, shard: int>>")
+    base = blocked.join(whole, ["k", "block"], "left").join(more, "row", "left").withColumn("draws", F.concat(F.coalesce("draws", none), F.coalesce("more", none)))
+    taken = base.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
+    copies = base.select("doc_id", "source", "rank", F.explode("draws").alias("d"))
+    return taken, copies.select("doc_id", "source", "d.copy", "d.shard", F.xxhash64("rank", "d.copy", "d.shard", F.lit(seed)).alias("position"))

@@ -389,9 +389,50 @@ def test_mix_meets_targets(spark):
     times = copies.groupby("doc_id").size()
     assert all(times.get(i, 0) * s == t for i, s, t in zip(taken.doc_id, taken["size"], taken.taken, strict=True) if s)
     assert not copies.duplicated(["doc_id", "copy"]).any() and copies.shard.between(0, 15).all()
+    assert {i: sorted(s) for i, s in zip(taken.doc_id, taken.shards, strict=True) if len(s)} == copies.groupby("doc_id").shard.apply(sorted).to_dict()
     assert mixing.mix(frame(spark, {0: None}).limit(0))[0].count() == 0
 
 
+def test_mix_goes_through_the_tree(spark, monkeypatch):
+    """The blocks of each shard are those that the tree deals it; without the tree the rows are others."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    docs = frame(spark, {i: prose(3 + i % 50, i) for i in range(300)})
+    rows = lambda: {(r.doc_id, r.copy, r.shard) for r in mixing.mix(docs)[1].collect()}
+    kept, real, dealt = rows(), mixing.split, []
+    monkeypatch.setattr(mixing, "split", lambda counts, shards, rng: dealt.append(real(counts, shards, rng)) or dealt[-1])
+    assert rows() == kept
+    sizes = dealt[0].sum(1)
+    assert np.ptp(sizes) <= 4 and {s for _, _, s in kept} == set(np.flatnonzero(sizes).tolist())
+    monkeypatch.setattr(mixing, "split", lambda counts, shards, rng: np.concatenate([counts[None], np.zeros((shards - 1, len(counts)), np.int64)]))
+    assert {s for _, _, s in rows()} == {0} != {s for _, _, s in kept}
+
+
+def test_draws_and_last_words():
+    rng = np.random.default_rng(2)
+    blocks = [(b, int(rng.integers(1, 50))) for b in range(30)]
+    size = sum(s for _, s in blocks)
+    for target in (0, 7, size, 2.5 * size, 3 * size):
+        got = mixing.draws(blocks, target, np.random.default_rng(1))
+        words = sum(dict(blocks)[b] if w is None else w for b, _, w in got)
+        assert words == round(target) and len({(b, c) for b, c, _ in got}) == len(got) and sum(w is not None for *_, w in got) <= 1
+    for _ in range(30):
+        sizes = rng.integers(0, 40, 12)
+        words = int(rng.integers(0, sizes.sum() + 5))
+        sums = {0}
+        for s in sizes.tolist():
+            sums |= {s + x for x in sums}
+        got = mixing.fill(sizes, words)
+        assert sizes[got].sum() == max(x for x in sums if x <= words)
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e", "x"), (None, "f g", None), (None, None, None), (2, "h " * 40, "y"), (2, "h " * 40, "y")]
+    docs = spark.createDataFrame([(i, t, s, 9, "z") for i, t, s in rows], "doc_id long, text string, source string, size int, k string").repartition(3)
+    got = mixing.mix(docs)[0].collect()
+    assert sorted((r.doc_id or 0, r.size, r.source or "") for r in got) == sorted((i or 0, len((t or "").split()), s or "") for i, t, s in rows)
+    assert all(r.taken <= 3 * r.size for r in got) and {r.source: r.source_size for r in got} == {"x": 8, None: 2, "y": 80}
+
+
 # learned operators
 
 

@@ -50,7 +50,7 @@ def test_stages(spark, corpus, tmp_path):
 
 
 def test_run_is_all_stages(spark, corpus):
-    assert C.run(spark, corpus[0]).columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+    assert C.run(spark, corpus[0]).columns == ["doc_id", "source", "size", "source_size", "target", "taken", "shards"]
 
 
 def test_empty_tables(spark, corpus):
