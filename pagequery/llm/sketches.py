@@ -1,10 +1,15 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with SQL functions only.
 
-A paragraph is a line; its digest is its 64-bit xxHash. A sketch has three rows of SLOTS cells, and every digest goes into one
-cell of each row: a cell has the number of its digests, their XOR, and the XOR of their checksums. Sketches of two
-versions subtract cell by cell, what they share cancels, and peeling recovers what differs: a cell with one digest, as
-its checksum proves, gives it away, and taking it out of its other cells frees further ones. Where peeling ends with cells left over, both versions are
-sketched again, four times as large: digests are dealt into that many sketches, each peeled by itself.
+A paragraph is a line, or a sentence of a line that has several; the first 1, 2, 4, 8 and 16 words of a text count as paragraphs
+too, so that a text of a single sentence has something to share. A paragraph's digest is its 64-bit xxHash. A sketch has HASHES rows of
+SLOTS cells, and every digest goes into one cell of each row: a cell has the number of its digests, their XOR, and the XOR of
+their checksums. Sketches of two versions subtract cell by cell, what they share cancels, and peeling recovers what differs: a
+cell with one digest, as its checksum proves, gives it away, and taking it out of its other cells frees further ones. Where cells
+are left over, the digests are sketched again, with other hashes and four times as many cells: they are dealt into four parts, each
+with a sketch of its own, and so on.
+
+A text of many paragraphs is dealt into parts of about PART digests from the start, so the work of a sketch is bounded, and that
+of a text grows with its paragraphs and the square root of their parts.
 """
 
 from __future__ import annotations
@@ -15,62 +20,91 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SLOTS, HASHES = 16, 3
-#: Rounds of peeling; numbers of sketches that are tried in turn.
-ROUNDS, LADDER = 12, (1, 4, 16, 64, 256, 1024)
+#: Digests of a part of a pair of texts, on average.
+PART = 12
+#: Rounds of peeling at most: each takes out a digest at least, and more than a part's cells cannot peel.
+ROUNDS = SLOTS * HASHES
+#: Parts of the retries, each as many times as large as the one before; two digests would have to fall together at random in all of them.
+LADDER = (1, 4, 16, 64, 256, 1024)
+#: Where a line ends, or a sentence in it.
+PARAGRAPH = r"\n|(?<=[.!?\u3002\uFF01\uFF1F]) "
 #: Documents that are ordered together, on average; beyond so many times that number in one range of ids, ranks are used.
 RANGE_DOCS, UNEVEN = 1000, 20
 
-_CHECK = "cast(xxhash64({d}, 7) & 4294967295L AS BIGINT)"
-_IN = f"(shiftrightunsigned({{d}}, 4 * ({{i}} div {SLOTS})) & {SLOTS - 1}L) = {{i}} % {SLOTS}"
 _ZERO = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
+_SUM = "named_struct('c', s.c + 1, 'k', s.k ^ d, 'h', s.h ^ (xxhash64(d, 7) & 4294967295L))"
+_MINUS = "zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
 def digests(text: Column) -> Column:
-    """The different digests of a text's lines (null: those of an empty text)."""
-    return F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.xxhash64(p)))
+    """The different digests of a text's paragraphs (null: those of an empty text)."""
+    text = F.coalesce(text, F.lit(""))
+    heads = F.transform(F.array(*(F.substring_index(text, " ", k) for k in (1, 2, 4, 8, 16))), lambda p: F.xxhash64(p))
+    return F.array_distinct(F.concat(F.transform(F.split(text, PARAGRAPH), lambda p: F.xxhash64(p)), heads))
+
+
+def _hash(d: str, salt: int) -> str:
+    """SQL for the bits of a digest that place it: its own, or for a retry those of a hash of it."""
+    return f"xxhash64({d}, {salt}L)" if salt else d
+
+
+def _in(d: str, salt: int) -> str:
+    """SQL for whether digest d goes into cell i."""
+    return f"(shiftrightunsigned({_hash(d, salt)}, 4 * (i div {SLOTS})) & {SLOTS - 1}L) = i % {SLOTS}"
+
 
+def _cells(of: str, salt: int = 0) -> str:
+    """SQL for the cells of a short array of digests; an empty one is told by its size, before any cell is filled."""
+    mine = f"filter({of}, d -> {_in('d', salt)})"
+    return f"transform(sequence(0, {SLOTS * HASHES - 1}), i -> if(size({of}) = 0, {_ZERO}, aggregate({mine}, {_ZERO}, (s, d) -> {_SUM})))"
 
-def _cells(of: str) -> str:
-    """SQL for the cells of an array of digests."""
-    mine = f"filter({of}, d -> {_IN.format(d='d', i='i')})"
-    add = f"named_struct('c', s.c + 1, 'k', s.k ^ d, 'h', s.h ^ {_CHECK.format(d='d')})"
-    return f"transform(sequence(0, {SLOTS * HASHES - 1}), i -> aggregate({mine}, {_ZERO}, (s, d) -> {add}))"
 
+def _parts(of: str, n: str, salt: int = 0) -> str:
+    """SQL for an array of digests dealt into n parts, by way of about sqrt(n) groups of them."""
+    group = f"cast(ceil(sqrt({n})) AS INT)"
+    place = f"cast(pmod(shiftrightunsigned({_hash('d', salt)}, 12), {n}) AS INT)"
+    inner = f"transform(sequence(g * {group}, least((g + 1) * {group}, {n}) - 1), j -> filter(sub, d -> {place} = j))"
+    outer = f"transform(array(filter({of}, d -> {place} div {group} = g)), sub -> {inner})[0]"
+    return f"flatten(transform(sequence(0, cast(ceil({n} / {group}) AS INT) - 1), g -> {outer}))"
 
-def _peeled(cells: str) -> str:
+
+def _peeled(cells: str, salt: int) -> str:
     """SQL for how many digests peeling recovers from the difference of two sketches; null if cells are left over."""
-    pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 AND c.h = {_CHECK.format(d='c.k')}), c -> named_struct('k', c.k, 'c', c.c)))"
-    take = f"aggregate(filter(p, q -> {_IN.format(d='q.k', i='i')}), c, (c, q) -> named_struct('c', c.c - q.c, 'k', c.k ^ q.k, 'h', c.h ^ {_CHECK.format(d='q.k')}))"
+    pure = "array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 AND c.h = (xxhash64(c.k, 7) & 4294967295L)), c -> named_struct('k', c.k, 'c', c.c)))"
+    take = f"aggregate(filter(p, q -> {_in('q.k', salt)}), c, (c, q) -> named_struct('c', c.c - q.c, 'k', c.k ^ q.k, 'h', c.h ^ (xxhash64(q.k, 7) & 4294967295L)))"
     # an inner aggregate over a single element names the pure digests of this round
-    step = f"aggregate(array({pure}), s, (s, p) -> named_struct('cells', transform(s.cells, (c, i) -> {take}), 'found', s.found + size(p), 'live', size(p) > 0))"
+    step = f"aggregate(array({pure}), s, (s, p) -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'live', false), named_struct('cells', transform(s.cells, (c, i) -> {take}), 'found', s.found + size(p), 'live', true)))"
     start = f"named_struct('cells', {cells}, 'found', 0, 'live', true)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.live, {step}, s), s -> if(exists(s.cells, c -> c.c <> 0 OR c.k <> 0L OR c.h <> 0L), cast(NULL AS INT), s.found))"
 
 
-_MINUS = "zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
-
-
-def _differing(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
-    """SQL for the number of digests that differ between the digest columns a and b, by the first size that peels."""
-    tries = [_peeled(_MINUS.format(a=sketch_a, b=sketch_b))]
-    for n in LADDER[1:]:
-        part = "filter({of}, d -> pmod(shiftrightunsigned(d, 12), {n}L) = g)"
-        cells = _MINUS.format(a=_cells(part.format(of=a, n=n)), b=_cells(part.format(of=b, n=n)))
-        each = f"transform(sequence(0L, {n - 1}L), g -> {_peeled(cells)})"
-        tries.append(f"aggregate({each}, 0, (t, x) -> t + x)")
-    tries.append(f"size(array_except({a}, {b})) + size(array_except({b}, {a}))")
+def _differing(a: str, b: str) -> str:
+    """SQL for the number of digests that differ between two short arrays, by the first size of sketch that peels (null: none does)."""
+    tries = []
+    for salt, n in enumerate(LADDER):
+        cells = _MINUS.format(a=_cells("u.a", salt), b=_cells("u.b", salt))
+        pairs = f"array(named_struct('a', {a}, 'b', {b}))" if n == 1 else f"zip_with({_parts(a, str(n), salt)}, {_parts(b, str(n), salt)}, (v1, w1) -> named_struct('a', v1, 'b', w1))"
+        pairs = f"filter({pairs}, u -> size(u.a) + size(u.b) > 0)"
+        tries.append(f"aggregate(transform({pairs}, u -> {_peeled(cells, salt)}), 0, (sum, one) -> sum + one)")
     return f"coalesce({', '.join(tries)})"
 
 
-def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
-    """Jaccard likeness (0 to 1) of two digest columns, from their sizes and what their sketches' difference gives up."""
-    differ = F.expr(_differing(a, b, sketch_a, sketch_b))
+def likeness(a: str, b: str) -> Column:
+    """Jaccard likeness (0 to 1) of two digest columns, from their sizes and what their sketches' differences give up; 1 for two empty ones.
+
+    Null if no size of sketch peels, which takes two digests that fall together in each of len(LADDER) independent places.
+    """
+    n = f"cast(greatest(1, (size(pair.a) + size(pair.b)) div {PART}) AS INT)"
+    dealt = f"named_struct('a', {_parts('pair.a', n)}, 'b', {_parts('pair.b', n)})"
+    differ = f"aggregate(zip_with(parts.a, parts.b, (v, w) -> {_differing('v', 'w')}), 0, (sum, one) -> sum + one)"
+    # arrays of a single element name what is used more than once
+    found = F.expr(f"transform(transform(array(named_struct('a', {a}, 'b', {b})), pair -> {dealt}), parts -> {differ})")
     both = F.size(a) + F.size(b)
-    return F.expr("cast(1 AS DOUBLE)") * (both - differ) / (both + differ)
+    return F.transform(found, lambda d: F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) * (both - d) / (both + d)))[0]
 
 
 def sketch(of: str) -> Column:
-    """The smallest sketch of a digest column."""
+    """The smallest sketch of a digest column: all its digests in one part."""
     return F.expr(_cells(of))
 
 
@@ -87,9 +121,9 @@ def _ranged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     moved once more. Only ids are looked at.
     """
     spark = docs.sparkSession
-    bounds = docs.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    bounds = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high, n = bounds[0] or 0, bounds[1] or 0, bounds[2]
-    width = max(1, -(-(high - low + 1) * RANGE_DOCS // max(n, 1)))
+    width = min(max(1, -(-(high - low + 1) * RANGE_DOCS // max(n, 1))), (1 << 63) - 1)
     cell = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
     placed = docs.withColumn("cell", cell)
     cells = cut(placed.select("id", "cell").groupBy("cell").agg(F.min("id").alias("first"), F.count("*").alias("n")))
@@ -117,7 +151,7 @@ def _ranged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """A fingerprint of each text and of its edited text, and what their sketches say about versions.
+    """A fingerprint of each text and of its edited text (their smallest sketches), and what sketches say about versions.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. The edited text has
     the first floor(n_chars / 2) code points of the next document, or all it has, in place of its own last ones. The next document is
@@ -135,13 +169,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
     texts = with_next.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next")
     sets = texts.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("x"))
-    cells = sets.withColumns({"sd": sketch("d"), "se": sketch("e"), "sx": sketch("x")})
+    cells = sets.withColumns({"sd": sketch("d"), "se": sketch("e")})
     return cells.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written("sd", "d").alias("fingerprint"),
         written("se", "e").alias("edited_fingerprint"),
-        likeness("d", "e", "sd", "se").alias("near_edited"),
-        likeness("d", "x", "sd", "sx").alias("near_next"),
+        likeness("d", "e").alias("near_edited"),
+        likeness("d", "x").alias("near_next"),
     )
