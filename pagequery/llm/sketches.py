@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with SQL functions only.
 
-A paragraph is a line, or a sentence of a line that has several; the first 1, 2, 4, 8 and 16 words of a text count as paragraphs
+A paragraph is a line, or of a longer line what lies between sentence ends that their last letter chooses; the first 1, 2, 4, 8 and 16 words of a text count as paragraphs
 too, so that a text of a single sentence has something to share. A paragraph's digest is its 64-bit xxHash. A sketch has HASHES rows of
 SLOTS cells, and every digest goes into one cell of each row: a cell has the number of its digests, their XOR, and the XOR of
 their checksums. Sketches of two versions subtract cell by cell, what they share cancels, and peeling recovers what differs: a
@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SLOTS, HASHES = 16, 3
+SLOTS, HASHES = 4, 3
 #: Digests of a part of a pair of texts, on average.
-PART = 12
-#: Rounds of peeling at most: each takes out a digest at least, and more than a part's cells cannot peel.
-ROUNDS = SLOTS * HASHES
+PART = 4
+#: Rounds of peeling at most; what takes more is retried.
+ROUNDS = 2 * SLOTS * HASHES
 #: Parts of the retries, each as many times as large as the one before; two digests would have to fall together at random in all of them.
 LADDER = (1, 4, 16, 64, 256, 1024)
-#: Where a line ends, or a sentence in it.
-PARAGRAPH = r"\n|(?<=[.!?\u3002\uFF01\uFF1F]) "
+#: What ends a paragraph within a line, and stays with it: the ends of about a third of all sentences, by their last letter.
+ENDS = ("a. ", "e. ", "n. ", "! ", "? ", "\u3002", "\uff01", "\uff1f")
 #: Documents that are ordered together, on average; beyond so many times that number in one range of ids, ranks are used.
 RANGE_DOCS, UNEVEN = 1000, 20
 
@@ -39,8 +39,11 @@ _MINUS = "zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y
 def digests(text: Column) -> Column:
     """The different digests of a text's paragraphs (null: those of an empty text)."""
     text = F.coalesce(text, F.lit(""))
+    lines = text
+    for end in ENDS:
+        lines = F.replace(lines, F.lit(end), F.lit(end + "\n"))
     heads = F.transform(F.array(*(F.substring_index(text, " ", k) for k in (1, 2, 4, 8, 16))), lambda p: F.xxhash64(p))
-    return F.array_distinct(F.concat(F.transform(F.split(text, PARAGRAPH), lambda p: F.xxhash64(p)), heads))
+    return F.array_distinct(F.concat(F.transform(F.split(lines, "\n"), lambda p: F.xxhash64(p)), heads))
 
 
 def _hash(d: str, salt: int) -> str:
@@ -54,53 +57,66 @@ def _in(d: str, salt: int) -> str:
 
 
 def _cells(of: str, salt: int = 0) -> str:
-    """SQL for the cells of a short array of digests; an empty one is told by its size, before any cell is filled."""
-    mine = f"filter({of}, d -> {_in('d', salt)})"
-    return f"transform(sequence(0, {SLOTS * HASHES - 1}), i -> if(size({of}) = 0, {_ZERO}, aggregate({mine}, {_ZERO}, (s, d) -> {_SUM})))"
+    """SQL for the cells of a short array of digests."""
+    row = lambda j: f"transform(sequence(0L, {SLOTS - 1}L), i -> aggregate(filter({of}, d -> (shiftrightunsigned({_hash('d', salt)}, {4 * j}) & {SLOTS - 1}L) = i), {_ZERO}, (s, d) -> {_SUM}))"
+    return f"if(size({of}) = 0, array_repeat({_ZERO}, {SLOTS * HASHES}), concat({', '.join(row(j) for j in range(HASHES))}))"
 
 
 def _parts(of: str, n: str, salt: int = 0) -> str:
     """SQL for an array of digests dealt into n parts, by way of about sqrt(n) groups of them."""
-    group = f"cast(ceil(sqrt({n})) AS INT)"
     place = f"cast(pmod(shiftrightunsigned({_hash('d', salt)}, 12), {n}) AS INT)"
-    inner = f"transform(sequence(g * {group}, least((g + 1) * {group}, {n}) - 1), j -> filter(sub, d -> {place} = j))"
-    outer = f"transform(array(filter({of}, d -> {place} div {group} = g)), sub -> {inner})[0]"
-    return f"flatten(transform(sequence(0, cast(ceil({n} / {group}) AS INT) - 1), g -> {outer}))"
+    keyed = f"transform({of}, d -> named_struct('d', d, 'p', {place}))"
+    group = f"cast(ceil(sqrt({n})) AS INT)"
+    inner = "transform(sequence(g * whole.group, least((g + 1) * whole.group, whole.n) - 1), j -> transform(filter(sub, e -> e.p = j), e -> e.d))"
+    outer = f"flatten(transform(array(filter(whole.keyed, e -> e.p div whole.group = g)), sub -> {inner}))"
+    each = f"flatten(transform(array(transform(sequence(0, cast(ceil(whole.n / whole.group) AS INT) - 1), g -> {outer})), of -> flatten(of)))"
+    return f"flatten(transform(array(named_struct('keyed', {keyed}, 'group', {group}, 'n', {n})), whole -> {each}))"
 
 
 def _peeled(cells: str, salt: int) -> str:
-    """SQL for how many digests peeling recovers from the difference of two sketches; null if cells are left over."""
-    pure = "array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 AND c.h = (xxhash64(c.k, 7) & 4294967295L)), c -> named_struct('k', c.k, 'c', c.c)))"
-    take = f"aggregate(filter(p, q -> {_in('q.k', salt)}), c, (c, q) -> named_struct('c', c.c - q.c, 'k', c.k ^ q.k, 'h', c.h ^ (xxhash64(q.k, 7) & 4294967295L)))"
+    """SQL for how many digests peeling recovers from the difference of two sketches; null if cells are left over.
+
+    A round takes the digests that are alone in a cell of one row, each of which is in one cell of that row only; the rows take turns.
+    """
+    pure = f"filter(slice(s.cells, {SLOTS} * (r % {HASHES}) + 1, {SLOTS}), c -> abs(c.c) = 1 AND c.h = (xxhash64(c.k, 7) & 4294967295L))"
+    take = f"if(c.c = 0 AND c.k = 0L, c, aggregate(filter(p, q -> {_in('q.k', salt)}), c, (c, q) -> named_struct('c', c.c - q.c, 'k', c.k ^ q.k, 'h', c.h ^ q.h)))"
     # an inner aggregate over a single element names the pure digests of this round
-    step = f"aggregate(array({pure}), s, (s, p) -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'live', false), named_struct('cells', transform(s.cells, (c, i) -> {take}), 'found', s.found + size(p), 'live', true)))"
-    start = f"named_struct('cells', {cells}, 'found', 0, 'live', true)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.live, {step}, s), s -> if(exists(s.cells, c -> c.c <> 0 OR c.k <> 0L OR c.h <> 0L), cast(NULL AS INT), s.found))"
+    step = f"aggregate(array({pure}), s, (s, p) -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'idle', s.idle + 1), named_struct('cells', transform(s.cells, (c, i) -> {take}), 'found', s.found + size(p), 'idle', 0)))"
+    start = f"named_struct('cells', {cells}, 'found', 0, 'idle', 0)"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> if(s.idle < {HASHES}, {step}, s), s -> if(exists(s.cells, c -> c.c <> 0 OR c.k <> 0L OR c.h <> 0L), cast(NULL AS INT), s.found))"
 
 
-def _differing(a: str, b: str) -> str:
-    """SQL for the number of digests that differ between two short arrays, by the first size of sketch that peels (null: none does)."""
+def _retried(a: str, b: str) -> list[str]:
+    """SQL for the number of digests that differ between two short arrays, by ever larger sketches (null: it does not peel)."""
     tries = []
-    for salt, n in enumerate(LADDER):
+    for salt, n in enumerate(LADDER[1:], 1):
+        pairs = f"filter(zip_with({_parts(a, str(n), salt)}, {_parts(b, str(n), salt)}, (v1, w1) -> named_struct('a', v1, 'b', w1)), u -> size(u.a) + size(u.b) > 0)"
         cells = _MINUS.format(a=_cells("u.a", salt), b=_cells("u.b", salt))
-        pairs = f"array(named_struct('a', {a}, 'b', {b}))" if n == 1 else f"zip_with({_parts(a, str(n), salt)}, {_parts(b, str(n), salt)}, (v1, w1) -> named_struct('a', v1, 'b', w1))"
-        pairs = f"filter({pairs}, u -> size(u.a) + size(u.b) > 0)"
         tries.append(f"aggregate(transform({pairs}, u -> {_peeled(cells, salt)}), 0, (sum, one) -> sum + one)")
-    return f"coalesce({', '.join(tries)})"
+    return tries
+
+
+def n_parts(*of: str) -> Column:
+    """How many parts the digests of some columns are dealt into, so that the first and the largest other have about PART in each."""
+    first, *others = (F.size(c) for c in of)
+    return F.greatest(F.lit(1), F.floor((first + F.greatest(*others, F.lit(0))) / PART).cast("int"))
+
+
+def sketched(of: str, n: str) -> Column:
+    """A digest column dealt into n parts: of each its digests d, and the cells c of its sketch."""
+    return F.expr(f"transform({_parts(of, n)}, part -> named_struct('d', part, 'c', {_cells('part')}))")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard likeness (0 to 1) of two digest columns, from their sizes and what their sketches' differences give up; 1 for two empty ones.
+def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
+    """Jaccard likeness (0 to 1) of two digest columns, from their sizes and what the differences of their sketches of equally many parts give up; 1 for two empty ones.
 
     Null if no size of sketch peels, which takes two digests that fall together in each of len(LADDER) independent places.
     """
-    n = f"cast(greatest(1, (size(pair.a) + size(pair.b)) div {PART}) AS INT)"
-    dealt = f"named_struct('a', {_parts('pair.a', n)}, 'b', {_parts('pair.b', n)})"
-    differ = f"aggregate(zip_with(parts.a, parts.b, (v, w) -> {_differing('v', 'w')}), 0, (sum, one) -> sum + one)"
-    # arrays of a single element name what is used more than once
-    found = F.expr(f"transform(transform(array(named_struct('a', {a}, 'b', {b})), pair -> {dealt}), parts -> {differ})")
+    cells = _MINUS.format(a="v.c", b="w.c")
+    one = f"if(size(v.d) + size(w.d) = 0, 0, coalesce({', '.join([_peeled(cells, 0), *_retried('v.d', 'w.d')])}))"
+    differ = F.expr(f"aggregate(zip_with({sketch_a}, {sketch_b}, (v, w) -> {one}), 0, (sum, one) -> sum + one)")
     both = F.size(a) + F.size(b)
-    return F.transform(found, lambda d: F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) * (both - d) / (both + d)))[0]
+    return F.transform(F.array(differ), lambda d: F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) * (both - d) / (both + d)))[0]
 
 
 def sketch(of: str) -> Column:
@@ -164,18 +180,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = placed.select("doc_id", "id", "text", "cell", F.lit(False).alias("copy"))
     firsts = rows.join(heads, rows["id"] == heads["first"]).select("doc_id", "id", "text", "cell", F.lit(True).alias("copy"))
     order = Window.partitionBy("cell").orderBy("copy", "id", "text")
-    with_next = base.unionAll(firsts).withColumn("next", F.lead("text").over(order)).where("NOT copy")
+    both = base.unionAll(firsts).withColumn("d", digests(F.col("text")))  # once for each text, though it is also the next of another
+    with_next = both.withColumns({"next": F.lead("text").over(order), "x": F.lead("d").over(order)}).where("NOT copy")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
-    texts = with_next.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next")
-    sets = texts.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("x"))
-    cells = sets.withColumns({"sd": sketch("d"), "se": sketch("e")})
+    texts = with_next.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "d", "x")
+    sets = texts.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "d", digests(F.col("edited")).alias("e"), "x")
+    dealt = sets.withColumn("n", n_parts("d", "e", "x"))
+    cells = dealt.withColumns({"pd": sketched("d", "n"), "pe": sketched("e", "n"), "px": sketched("x", "n"), "sd": sketch("d"), "se": sketch("e")})
     return cells.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written("sd", "d").alias("fingerprint"),
         written("se", "e").alias("edited_fingerprint"),
-        likeness("d", "e").alias("near_edited"),
-        likeness("d", "x").alias("near_next"),
+        likeness("d", "e", "pd", "pe").alias("near_edited"),
+        likeness("d", "x", "pd", "px").alias("near_next"),
     )
