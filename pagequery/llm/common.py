@@ -137,3 +137,33 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray
         g = mix(g * np.uint64(0x2545F4914F6CDD1D) + hashes[j : j + n])
     row_end = np.repeat(bounds[1:], np.diff(bounds))
     return g, row_end[:n] - np.arange(n) >= size
+
+
+#: Bits of a sieve; of fixed size whatever it holds, so that it can be sent to every task.
+SIEVE_BITS = 1 << 27
+
+
+def sieve(keys: DataFrame, column: str, parts: int = 4):
+    """A broadcast of one bit for each long of a column, by hash: sifted() drops most of what is not among them, and nothing that is."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _place(batch.column(0).to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    total = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for row in keys.select(column).repartition(parts).mapInArrow(marked, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row.bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(total)
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - SIEVE_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def sifted(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be among those of a sieve."""
+    at = _place(h)
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1

@@ -316,6 +316,15 @@ def test_second_passage_behind_a_longer_one(spark):
     assert passages.dedup(frame(spark, texts)).where("doc_id = 2").first().n_removed >= 258
 
 
+def test_a_sieve_keeps_what_it_holds(spark):
+    from pagequery.llm import common
+
+    keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
+    bits = common.sieve(spark.createDataFrame([(int(k),) for k in keys], "h long"), "h").value
+    assert common.sifted(bits, keys.view(np.uint64)).all()
+    assert common.sifted(bits, np.arange(100000, dtype=np.uint64)).mean() < 0.001
+
+
 def test_fenwick_prefix_maxima():
     tree, values = passages.Fenwick(50), {}
     rng = np.random.default_rng(1)
