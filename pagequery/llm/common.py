@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver look for plans that cuts have made useless, so that Spark's cleaner drops their shuffle files now and not when its heap fills up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(column: Column | str, of: int) -> Column:
     """crc32 of the value as text, modulo `of`: the fixed folds of the learned operators (null: null)."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % of
@@ -140,7 +145,7 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 #: Bits of a sieve; of fixed size whatever it holds, so that it can be sent to every task.
-SIEVE_BITS = 1 << 27
+SIEVE_BITS = 1 << 25
 
 
 def sieve(keys: DataFrame, column: str, parts: int = 4):
