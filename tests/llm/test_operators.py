@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -602,6 +603,14 @@ def test_fingerprints_of_few_and_repeated_rows(spark):
         ("x<br>y<br><br>z", "x\ny\n\nz"),
         ("<details><summary>s</summary>gone</details><details open><summary>t</summary>here</details>", "s\nt\nhere"),
         ("<b>a</b> <i>b</i>", "a b"),
+        ("<table><tr><td rowspan=2>aa<td>b<tr><td>c</table>", "aa  b\n    c"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td>a<td>b<tr><td colspan=2>very wide cell<td>z<tr><td>x<td>y<td>w</table>", "a  b\nvery wide cell  z\nx  y            w"),
+        ("<svg><title>no</title><text>A</text><text>B</text><path d=x/></svg>c", "A\nB\nc"),
+        ("x<math><mi>k</mi><annotation>no</annotation></math>", "xk"),
+        ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span>no</div>", "yes"),
+        ("<div style='display:none'>no<span style='visibility: visible'>no</span></div>y", "y"),
+        ("<ol><li>a<li style='visibility:hidden'>b<li>c</ol>", "1. a\n3. c"),
         ("<td>alone</td>", "alone"),
         ("</div></p>text<unclosed", "text"),
     ],
@@ -625,7 +634,11 @@ def test_a_head_ends_without_tags(html, text):
 
 
 def test_deep_and_broken_pages(spark):
-    assert htmltext.render("<div>" * 20000 + "x") == "x"
+    began = time.process_time()
+    assert htmltext.render("<div>" * 100000 + "x") == "x"
+    assert htmltext.render("<b>" * 50000 + "</p>" * 50000 + "x") == "x"
+    assert htmltext.render("<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 5000).count("x") == 5000
+    assert time.process_time() - began < 20  # in proportion to the tags; by their square it took minutes
     assert htmltext.render("<table><tr><td>" * 50 + "x").strip() == "x"
     pages = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old"), (2, None, "old")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in htmltext.extract(pages).collect()) == [(1, "a"), (2, ""), (2, "")]
