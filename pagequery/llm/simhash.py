@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLDED, cut, grams, mix, packed, prefix, runs, spans, words
+from .common import FOLDED, cut, grams, mix, packed, prefix, runs, spans, tidy, words
 from .graph import components
 
 SEED = 42
@@ -224,6 +224,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     met = cut(keyed.join(often, ["block", "key"]))
     one, two = (met.where(F.col("m") <= FEW).select("block", "key", *(F.col(c).alias(c + t) for c in ("id", "fp", "n"))) for t in "ab")
     pairs = one.join(two, ["block", "key"]).where("ida < idb").select("ida", "fpa", "na", "idb", "fpb", "nb")
+    tidy(docs.sparkSession)
     large = met.where(F.col("m") > FEW)
     order = Window.partitionBy("block", "key", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / NEAR))).orderBy("id")
     previous = large.select(F.lag(F.struct("id", "fp", "n")).over(order).alias("f"), "id", "fp", "n")
@@ -262,6 +263,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
+    tidy(docs.sparkSession)
     first = cut(left.join(right, ["ida", "idb"]).mapInArrow(alike, "a long, b long"))
     roots = components(first)
     crowd = large.select("block", "key", "m", "id", "fp", "n").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
