@@ -527,6 +527,24 @@ def test_pseudo_likelihood_normalises_and_learns(spark):
     assert pseudolm.score(docs.limit(0), pseudolm.fit(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("common", [pseudolm.COMMON, 3])
+def test_every_word_outside_the_vocabulary_has_a_probability_of_its_own(spark, monkeypatch, common):
+    monkeypatch.setattr(pseudolm, "COMMON", common)
+    many = [f"w{k:04d}" for k in range(pseudolm.VOCABULARY)]
+    texts = {0: " ".join(many * 20), 1: "zebra " * 6 + "Zebra", 2: "camel " * 3, 3: "zebra", 4: "camel", 5: "otter", 6: None, 7: "zebra camel Zebra"}
+    docs = frame(spark, texts)
+    every = {(r.h, r["shape"]): r.n for r in pseudolm.counts(docs).collect() if r.h is not None}
+    assert len(every) == len(many) + 4  # zebra in two shapes, whatever the partitions
+    net = pseudolm.vocabulary(docs, 5)
+    got = {r.doc_id: r for r in pseudolm.score(docs, net).collect()}
+    n = {"zebra": 8, "camel": 5, "otter": 1}  # all of one shape, small letters
+    for one, two, i, j in (("zebra", "camel", 3, 4), ("camel", "otter", 4, 5)):
+        assert got[i].pll - got[j].pll == pytest.approx(np.log(n[one] / n[two]), abs=1e-5)
+    unseen = pseudolm.score(spark.createDataFrame([(0, "horse"), (1, "horse")], "doc_id long, text string"), net).collect()
+    assert len(unseen) == 2 and unseen[0].pll == unseen[1].pll == pytest.approx(got[5].pll, abs=1e-5)
+    assert (got[6].n_tokens, got[6].pll, got[6].mean_pll) == (0, 0.0, None) and got[1].n_tokens == 7
+
+
 # sketches
 
 
