@@ -270,6 +270,25 @@ def test_a_passage_finds_the_document_that_has_it_all(spark, n):
     assert {k for k, r in got.items() if r.n_removed} == {900} and got[900].n_removed >= 60 and got[900].partners == [100]
 
 
+def test_a_passage_whose_parts_are_all_crowded(spark):
+    """Six earlier documents hold each part of 42 words, so that every run of seeds of the passage meets only those; two hold all of it."""
+    p = prose(53, 61).split()
+    parts = [p[k : k + 42] for k in range(0, 12)]
+    texts = {10 * k + m: f"{prose(20, 5000 + 10 * k + m)} {' '.join(part)} {prose(20, 6000 + 10 * k + m)}" for k, part in enumerate(parts) for m in range(6)}
+    texts |= {k: f"{prose(20, 7000 + k)} {' '.join(p)} {prose(20, 8000 + k)}" for k in (*range(500, 506), 900)}
+    got = {r.doc_id: r for r in passages.dedup(frame(spark, texts)).collect()}
+    assert {k for k, r in got.items() if r.n_removed} == {*range(501, 506), 900}
+    assert all(got[k].n_removed >= 53 and got[k].partners == [500] for k in (501, 505, 900))
+
+
+def test_windows_of_crowded_seeds():
+    texts = [prose(200, 71), prose(49, 72), "", prose(50, 73)]
+    buf, off = passages.packed(__import__("pyarrow").array(texts))
+    row, h, place = passages.crowded_windows(np.full(1 << 22, 255, np.uint8), buf, off)
+    assert np.bincount(row, minlength=4).tolist() == [151, 0, 0, 1] and place.tolist() == [*range(151), 0] and len(set(h.tolist())) == 152
+    assert not len(passages.crowded_windows(np.zeros(1 << 22, np.uint8), buf, off)[0])
+
+
 @pytest.mark.parametrize("places", [1, 12])
 def test_a_phrase_that_stands_earlier_in_the_partner(spark, places):
     p = prose(60, 41).split()
