@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,12 +282,21 @@ def test_a_passage_whose_parts_are_all_crowded(spark):
     assert all(got[k].n_removed >= 53 and got[k].partners == [500] for k in (501, 505, 900))
 
 
-def test_windows_of_crowded_seeds():
+def test_windows_of_crowded_seeds(monkeypatch):
     texts = [prose(200, 71), prose(49, 72), "", prose(50, 73)]
-    buf, off = passages.packed(__import__("pyarrow").array(texts))
+    buf, off = passages.packed(pa.array(texts))
     row, h, place = passages.crowded_windows(np.full(1 << 22, 255, np.uint8), buf, off)
     assert np.bincount(row, minlength=4).tolist() == [151, 0, 0, 1] and place.tolist() == [*range(151), 0] and len(set(h.tolist())) == 152
     assert not len(passages.crowded_windows(np.zeros(1 << 22, np.uint8), buf, off)[0])
+    # whatever stands beside them, the same windows are found
+    sifted = passages.sifted
+    p = prose(50, 74)
+    hot = set(passages.seeds(*passages.packed(pa.array([p])))[1].tolist())
+    monkeypatch.setattr(passages, "sifted", lambda bits, h: np.isin(h, np.array(list(hot), np.uint64)))
+    for k in range(20):
+        one = passages.packed(pa.array([f"{prose(9, 7500 + k)} {p} {prose(9, 7600 + k)}"]))
+        assert 9 in passages.crowded_windows(None, *one)[2].tolist()
+    monkeypatch.setattr(passages, "sifted", sifted)
 
 
 @pytest.mark.parametrize("places", [1, 12])
