@@ -282,6 +282,21 @@ def test_a_passage_whose_parts_are_all_crowded(spark):
     assert all(got[k].n_removed >= 53 and got[k].partners == [500] for k in (501, 505, 900))
 
 
+def test_passages_drop_their_shuffles_as_they_go(spark, monkeypatch):
+    """What the steps shuffled goes when they end, not when the driver's heap next fills up; windows and chains may be spread over batches."""
+    monkeypatch.setattr(passages, "tidy", lambda spark: None)
+    files = lambda: set(re.findall(r"shuffle_(\d+)_", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before = files()
+    found = passages.dedup(frame(spark, _halves(40)))
+    assert len(files() - before) <= 5
+    assert {r.doc_id: r.n_removed >= 60 for r in found.where("n_removed > 0").collect()} == {900: True}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        test_a_passage_whose_parts_are_all_crowded(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_windows_of_crowded_seeds(monkeypatch):
     texts = [prose(200, 71), prose(49, 72), "", prose(50, 73)]
     buf, off = passages.packed(pa.array(texts))
