@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagequery.llm import decontam, graph, htmltext, langid, mixing, passages, pseudolm, quality, simhash, sketches, suffixes
+from pagequery.llm import common, decontam, graph, htmltext, langid, mixing, passages, pseudolm, quality, simhash, sketches, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = np.random.default_rng(5)
@@ -297,6 +297,12 @@ def test_passages_drop_their_shuffles_as_they_go(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_tidy_gives_native_memory_back(spark, monkeypatch):
+    """The call to the JVM is one that it has; where it has not, tidy() goes on without it."""
+    monkeypatch.setattr(common, "Py4JError", ZeroDivisionError)
+    common.tidy(spark)
+
+
 def test_windows_of_crowded_seeds(monkeypatch):
     texts = [prose(200, 71), prose(49, 72), "", prose(50, 73)]
     buf, off = passages.packed(pa.array(texts))
