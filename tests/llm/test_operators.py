@@ -303,6 +303,23 @@ def test_tidy_gives_native_memory_back(spark, monkeypatch):
     common.tidy(spark)
 
 
+def test_straight_chains_align_as_one_by_one():
+    rng = np.random.default_rng(3)
+    flat, x, y, close, a, b, n, want = [], [], [], [], [], [], [], []
+    for _ in range(300):
+        one, two = (rng.integers(0, 3, rng.integers(12, 90)).astype(np.uint16) for _ in "xy")
+        p, q = int(rng.integers(0, len(one) - 10)), int(rng.integers(0, len(two) - 10))
+        step = int(rng.integers(1, min(len(one) - p, len(two) - q) - passages.SHINGLE + 1))
+        same = min(step + 9, len(one) - p, len(two) - q)
+        two[q : q + same] = one[p : p + same]
+        start = sum(map(len, flat))
+        flat += [one, two]
+        x.append(start), y.append(start + len(one)), close.append(start + len(one) + len(two)), a.append(p), b.append(q), n.append(step + passages.SHINGLE)
+        want.append(passages.align(one, two, np.array([p, p + step]), np.array([q, q + step])))
+    got = passages.align_straight(np.concatenate(flat), *(np.array(v) for v in (x, y, close, a, b, n)))
+    assert list(zip(*(v.tolist() for v in got), strict=True)) == want
+
+
 def test_windows_of_crowded_seeds(monkeypatch):
     texts = [prose(200, 71), prose(49, 72), "", prose(50, 73)]
     buf, off = passages.packed(pa.array(texts))
