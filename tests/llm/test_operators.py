@@ -257,6 +257,28 @@ def test_passages_of_many_documents_match_brute_force(spark):
     assert sum(want.values()) > 1000 and all(abs(got[i] - want[i]) <= 2 * (want[i] > 0) for i in texts)
 
 
+def test_a_line_that_goes_on_and_on_makes_few_chains(spark, monkeypatch):
+    """Documents that repeat two words some hundred times meet the earliest one on a few diagonals, not on one for each time, and lose the passage."""
+    line = prose(2, 53).split()
+    run = lambda k, n: [line[(k + j) % 2] for j in range(n)]
+    texts = {k: " ".join([*prose(20, 5100 + k).split(), *run(k, 300 if k == 1 else 250 + 3 * k), *prose(20, 5200 + k).split()]) for k in range(1, 13)}
+    texts[20] = " ".join([*texts[2].split()[:200], *prose(70, 5300).split(), *run(0, 49), *prose(70, 5301).split(), *run(0, 90)])
+    seen, want = set(), {}
+    for i, t in texts.items():
+        w = t.split()
+        gone, grams = np.zeros(len(w), bool), [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        for k, g in enumerate(grams):
+            gone[k : k + 50] |= g in seen
+        seen |= set(grams)
+        want[i] = int(gone.sum())
+    kept, cut = [], passages.cut
+    monkeypatch.setattr(passages, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = {r.doc_id: r.n_removed for r in passages.dedup(frame(spark, texts)).collect()}
+    assert sum(want.values()) > 2500 and all(abs(got[i] - want[i]) <= 2 * (want[i] > 0) for i in texts)
+    chains = [r["count"] for r in next(df for df in kept if "c" in df.columns).groupBy("x", "y").count().collect()]
+    assert max(chains) <= 20 and sum(chains) <= 300
+
+
 def _halves(n):
     """A passage of two halves in documents 100 and 900, and n documents on either side of 100 and before 900 with one half."""
     a, b = prose(30, 31), prose(30, 32)
