@@ -1,9 +1,14 @@
-"""Scalar functions as Column expressions; all run inside the JVM."""
+"""Scalar functions as Column expressions; all run inside the JVM, but for anls."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Bytes of an element by type; element widths in bits by name.
 DTYPE_BYTES = {"float32": 4, "float16": 2, "bfloat16": 2, "int8": 1, "uint8": 1}
@@ -28,18 +33,61 @@ def ascii_folded(text: Column) -> Column:
     return F.regexp_replace(text, "[^ -~]", "?")
 
 
+def bounded_distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance of two strings if it is at most `most`, else -1.
+
+    The columns of the table of distances are differences by bit, of all rows at once, in whole numbers of as many bits as the shorter string has characters.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most:
+        return -1
+    if a in b:  # what is left out is all that differs
+        return len(b) - len(a)
+    m, left, at = len(a), len(b), {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << m) - 1, 1 << m - 1
+    up, down, distance = full, 0, m
+    for x in b:
+        eq = at.get(x, 0)
+        v = eq | down
+        h = ((eq & up) + up ^ up) | eq
+        plus, minus = down | full & ~(h | up), up & h
+        if plus & last:
+            distance += 1
+        elif minus & last:
+            distance -= 1
+        left -= 1
+        if distance - left > most:
+            return -1
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = minus | full & ~(v | plus), plus & v
+        up &= full
+    return distance if distance <= most else -1
+
+
+def _best_similarity(prediction: Iterator[str | None], golds: Iterator[list[str | None]]) -> Iterator[float]:
+    """The best similarity of each prediction to its golds; what is further away than the threshold scores 0, and is not measured."""
+    for p, gold in zip(prediction, golds, strict=True):
+        best = 0.0
+        for g in gold if gold is not None else ():
+            if g is None:
+                continue
+            longest = max(len(p or ""), len(g))
+            distance = bounded_distance(p, g, math.floor(longest * (1 - ANLS_THRESHOLD))) if p is not None and longest else -1
+            best = max(best, 1.0 if not longest else 1.0 - distance / longest if distance >= 0 else 0.0)
+        yield best
+
+
 def anls(prediction: Column, golds: Column) -> Column:
     """Best 1 - distance / longer length over the gold answers, trimmed and lower-cased; below the threshold 0, and without golds 0."""
-    p = F.lower(F.trim(prediction))
 
-    def similarity(gold: Column) -> Column:
-        g = F.lower(F.trim(gold))
-        longest = F.greatest(F.length(p), F.length(g))
-        # what is further away than the threshold scores 0 anyway, and need not be measured
-        distance = F.call_function("levenshtein", p, g, F.floor(longest * (1 - ANLS_THRESHOLD)).cast("int"))
-        return F.when(longest == 0, F.lit(1.0)).when(distance >= 0, 1.0 - distance / longest).otherwise(F.lit(0.0))
+    @F.pandas_udf(DoubleType())
+    def similarity(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series(list(_best_similarity(p, g)), dtype=float)
 
-    best = F.aggregate(F.transform(golds, similarity), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    best = similarity(F.lower(F.trim(prediction)), F.transform(golds, lambda g: F.lower(F.trim(g))))
     return F.when(best >= ANLS_THRESHOLD, best).otherwise(F.lit(0.0))
 
 

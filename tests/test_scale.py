@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagequery.functions import scalars as S
 from pagequery.operators import retrieval as R
 from pagequery.plans.catalog import QUERIES
 
@@ -37,3 +38,56 @@ def test_hybrid_topk_equals_the_frame_of_all_pairs(corpus, head, alpha):
 @pytest.mark.parametrize("name", ["hybrid_topk", "hybrid_text_only"])
 def test_hybrid_makes_no_pairs(spark, name):
     assert "NestedLoop" not in plan(QUERIES[name](spark, SF)) and "Cartesian" not in plan(QUERIES[name](spark, SF))
+
+
+def test_dense_topk_is_products_of_blocks(spark):
+    vectors = spark.createDataFrame([(i, i, [float(i % 4), float(i % 6), 1.0] if i % 7 else None) for i in range(90)], "doc_key long, pos long, vec array<float>")
+    asked = vectors.where("pos % 20 = 1").select(F.col("doc_key").alias("query_id"), F.col("vec").alias("qvec"))
+    assert rows(R.dense_topk(vectors, asked, 4)) == rows(R.ranked(R.dense_scores(vectors, asked), 4).select("query_id", "doc_key", "pos", "score", "rank"))
+    assert "NestedLoop" not in plan(QUERIES["dense_topk"](spark, SF))
+
+
+@pytest.mark.parametrize("head", [0, 3, 1000])
+def test_topk_and_sums_follow_from_scores(corpus, head):
+    docs, asked, _ = corpus
+    scores = R.text_scores(R.fit(docs), asked).collect()
+    sums = {r.query_id: r for r in R.text_sums(R.fit(docs, head), asked).collect()}
+    for q in (1, 2, 3):
+        own = {r.doc_key: r.score for r in scores if r.query_id == q}
+        assert (sums[q].s, sums[q].ss, sums[q].m) == pytest.approx((sum(own.values()), sum(x * x for x in own.values()), max(own.values(), default=0)))
+        want = sorted(range(60), key=lambda k: (-round(own.get(k, 0.0), 9), k))[:5]
+        assert [r.doc_key for r in R.text_topk(R.fit(docs, head), asked, 5).where(F.col("query_id") == q).orderBy("rank").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["flagship_tfidf_topk", "recall_at_k", "score_spread"])
+def test_search_makes_no_pairs(spark, name):
+    assert "regexp_extract_all" not in plan(QUERIES[name](spark, SF)) and "Contains" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("head", [0, 3, 1000])
+def test_lengths_do_not_depend_on_the_head(corpus, head):
+    docs = corpus[0]
+    index = R.fit(docs, head)
+    weights = R.weighted(R.term_counts(docs, "doc_key"), index.vocab, "doc_key")
+    assert rows(index.norms) == rows(weights.groupBy("doc_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+
+
+def test_zero_vectors_need_no_shuffle(spark):
+    assert "Exchange" not in plan(QUERIES["zero_vector_docs"](spark, SF)) and "Python" not in plan(QUERIES["zero_vector_docs"](spark, SF))
+
+
+def test_bounded_distance_is_the_plain_one(spark):
+    import random
+
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abc \u00e9") for _ in range(n))
+    pairs = [(word(n), word(m)) for n in range(0, 40, 3) for m in range(0, 40, 4)] + [(w, w[2:] + "x") for w in (word(n) for n in range(60, 140, 9))]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for a, b, d in df.select("a", "b", F.levenshtein("a", "b")).collect():
+        for most in (0, d - 1, d, d + 3):
+            assert S.bounded_distance(a, b, most) == (d if d <= most else -1)
+
+
+@pytest.mark.parametrize("name", ["anls_scores", "anls_by_group"])
+def test_anls_takes_words_of_bits(spark, name):
+    assert "levenshtein" not in plan(QUERIES[name](spark, SF))
