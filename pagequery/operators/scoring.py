@@ -68,7 +68,7 @@ class Queries:
             cols, ws = rows.column("cols"), rows.column("ws")
             text = self.text(np.asarray(cols.flatten(), np.int64), np.asarray(ws.flatten(), float), np.asarray(cols.value_lengths(), np.int64))
             norm = np.asarray(rows.column("norm"))
-            text /= np.where(norm > 0, norm, 1.0)[:, None]
+            text = text / np.where(norm > 0, norm, 1.0)[:, None]
         if self.vectors is None:
             return text
         with np.errstate(all="ignore"):
