@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets of the keys that a seeded draw finds its limit by.
+BUCKETS = 256
+
+
 def limited_union(parts: list[tuple[DataFrame, int]], order: str) -> DataFrame:
     """The first rows by `order` of every part, up to its limit; a limit of 0 or less leaves a part out. The limit counts rows, before any dedup."""
     taken = [df.orderBy(order).limit(n) for df, n in parts if n > 0]
@@ -58,12 +62,20 @@ def sampled_trace(queries: DataFrame, keys: DataFrame, k: int = 5, seed: int = 1
     """(query_id, gold_doc_key, retrieved): the gold document first, then k - 1 others by hash of seed, query and document.
 
     Queries (query_id, gold_doc_key) whose gold document is absent from keys (doc_key) drop out; k stops at what there is. The queries are
-    a stated set that meets all keys; each task keeps the k - 1 first of every query before anything is shuffled.
+    a stated set that meets all keys, and no pair is sorted or shuffled: the keys are dealt over buckets, and of each bucket only the least number from
+    the hash is kept; the k - 1 first pairs cannot lie above the number of the bucket that comes k - 1st, and few others lie below it.
     """
-    known = queries.join(keys.select(F.col("doc_key").alias("gold_doc_key")).distinct(), "gold_doc_key", "left_semi")
-    pairs = known.join(keys, known["gold_doc_key"] != keys["doc_key"])
+    known = queries.join(keys.select(F.col("doc_key").alias("gold_doc_key")).distinct(), "gold_doc_key", "left_semi").select("query_id", "gold_doc_key")
+    known = keys.sparkSession.createDataFrame(known.toArrow(), known.schema)  # it is met three times, and found once
+    number = F.conv(F.substring(hash_rank(seed, F.col("query_id"), F.col("doc_key")), 1, 15), 16, 10).cast("long")
+    pairs = keys.select("doc_key").join(F.broadcast(known), F.col("gold_doc_key") != F.col("doc_key")).withColumn("h", number)
+    least = pairs.groupBy("query_id", F.pmod(F.xxhash64("doc_key"), F.lit(BUCKETS)).alias("bucket")).agg(F.min("h").alias("h"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("h"))
+    limits = least.withColumn("n", nth).where(F.col("n") <= k - 1).groupBy("query_id").agg(F.max("h").alias("most"), F.count("*").alias("n"))
+    limited = known.join(limits, "query_id").withColumn("most", F.when(F.col("n") == k - 1, F.col("most")).otherwise(F.lit((1 << 63) - 1)))
+    near = keys.select("doc_key").join(F.broadcast(limited), (F.col("gold_doc_key") != F.col("doc_key")) & (number <= F.col("most")))
     order = Window.partitionBy("query_id").orderBy(hash_rank(seed, F.col("query_id"), F.col("doc_key")), "doc_key")
-    drawn = pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k - 1)
+    drawn = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k - 1)
     lists = drawn.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "doc_key"))), lambda x: x["doc_key"]).alias("others"))
     gold = F.array(F.col("gold_doc_key"))
     return known.join(lists, "query_id", "left").select("query_id", "gold_doc_key", F.when(F.col("others").isNull(), gold).otherwise(F.concat(gold, "others")).alias("retrieved"))
@@ -95,7 +107,7 @@ def sampled_trace_exact(queries: DataFrame, keys: DataFrame, k: int = 5, seed: i
 def resolved(trace: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, keys, texts): a trace's documents in their order; keys without a document drop out."""
     long = trace.select("query_id", F.posexplode("retrieved").alias("at", "doc_key"))
-    found = long.join(docs.select("doc_key", "text"), "doc_key")
+    found = docs.select("doc_key", "text").join(F.broadcast(long), "doc_key")  # the trace is short, the texts are not
     lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "doc_key", "text"))).alias("d"))
     return lists.select("query_id", F.transform("d", lambda x: x["doc_key"]).alias("keys"), F.transform("d", lambda x: x["text"]).alias("texts"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagequery.functions import scalars as S
 from pagequery.operators import retrieval as R
+from pagequery.operators import workload as W
 from pagequery.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,21 @@ def test_bounded_distance_is_the_plain_one(spark):
 @pytest.mark.parametrize("name", ["anls_scores", "anls_by_group"])
 def test_anls_takes_words_of_bits(spark, name):
     assert "levenshtein" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("n", [1, 3, 700])
+def test_trace_draws_without_sorting_pairs(spark, n):
+    from pyspark.sql import Window
+
+    keys = spark.range(n).select(F.col("id").alias("doc_key"))
+    asked = spark.createDataFrame([(q, q % n) for q in range(6)] + [(9, 5000)], "query_id long, gold_doc_key long")
+    got = {r.query_id: r.retrieved for r in W.sampled_trace(asked, keys, 5, 7).collect()}
+    order = Window.partitionBy("query_id").orderBy(W.hash_rank(7, F.col("query_id"), F.col("doc_key")), "doc_key")
+    every = asked.join(keys, F.col("gold_doc_key") != F.col("doc_key")).withColumn("rn", F.row_number().over(order)).where("rn < 5").orderBy("rn").collect()
+    assert got == {q: [q % n] + [r.doc_key for r in every if r.query_id == q] for q in range(6)}
+
+
+@pytest.mark.parametrize("name", ["frozen_trace", "canonical_order", "prompt_text", "prompt_part_counts"])
+def test_traces_join_documents_where_they_lie(spark, name):
+    shown = plan(QUERIES[name](spark, SF))
+    assert "Cartesian" not in shown and "SortMergeJoin [doc_key" not in shown and "min(h" in shown
