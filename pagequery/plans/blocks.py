@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -57,18 +56,19 @@ def prefix_hits(spark, d):
     return B.prefix_hits(_blocks(spark, d).select("doc_id", B.chain_hashes(F.col("blocks")).alias("hashes")), "doc_id")
 
 
-def _lists(spark, d, canonical=False):
-    """Retrieved lists: parts of an order in the order of its lines, or sorted by part; cost by part size."""
+def _lists(spark, d):
+    """Retrieved lists: parts of an order in the order of its lines, or sorted by part (canonical); cost by part size."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 16).cast("long").alias("cost"))
-    cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    w = Window.partitionBy("l_orderkey").orderBy(*(["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"] if canonical else cols))
-    return li.join(part, "l_partkey").select(F.col("l_orderkey").alias("seq"), F.row_number().over(w).alias("i"), F.col("l_partkey").alias("doc"), "cost")
+    line, part_first = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "cost"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "cost"]
+    orders = li.join(part, "l_partkey").repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*line))).alias("x"))
+    both = orders.withColumn("y", F.array_sort(F.transform("x", lambda r: F.struct(*[r[c].alias(c) for c in part_first]))))
+    form = lambda canonical, c: F.struct(F.lit(canonical).alias("canonical"), F.col(f"{c}.l_partkey").alias("docs"), F.col(f"{c}.cost").alias("costs"))
+    return both.select(F.col("l_orderkey").alias("seq"), F.explode(F.array(form(False, "x"), form(True, "y"))).alias("f")).select("seq", "f.*")
 
 
 def prefix_sharing(spark, d):
-    both = _lists(spark, d).withColumn("canonical", F.lit(False)).unionByName(_lists(spark, d, True).withColumn("canonical", F.lit(True)))
-    out = B.prefix_sharing(both, F.col("block_size"), ["canonical"], _sizes(spark))
+    out = B.sequence_sharing(_lists(spark, d), F.col("block_size"), ["canonical"], _sizes(spark))
     return out.select("block_size", "canonical", "n_sequences", "total_tokens", "paged_blocks", "shared_blocks", F.round("saving_pct", 6).alias("saving_pct"), F.round("mean_prefix_docs", 6).alias("mean_prefix_docs"))
 
 
